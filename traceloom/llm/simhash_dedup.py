@@ -343,5 +343,7 @@ def near_duplicates(
     least = (
         named.join(linked, "component", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"))
     )
+    # Written first, so that a large group's rows can be split in the join.
+    least = cut(spark, least, "least")
     label = named.join(least, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(label, "fp").select("id", "fp", "component_id")
