@@ -64,7 +64,7 @@ class WordTokenizer:
         self.words: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, new: list[str]) -> None:
         ids = self._ids(" ".join(new))
@@ -96,10 +96,14 @@ class WordTokenizer:
 
 
 def default_tokenizer() -> WordTokenizer:
+    """The tokenizer of word_bpe_49k.json; a worker process keeps it, with its words, for later tasks."""
     import public_tokenizers
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    kept = vars(public_tokenizers)
+    if "traceloom_tokenizer" not in kept:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        kept["traceloom_tokenizer"] = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    return kept["traceloom_tokenizer"]
 
 
 def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
