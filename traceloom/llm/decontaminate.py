@@ -50,7 +50,7 @@ class Canonical:
     Words seen are kept, up to MAX_WORDS, with their hash and kind.
     """
 
-    MAX_WORDS = 400_000
+    MAX_WORDS = 200_000
 
     def __init__(self) -> None:
         self.slot = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in ("word", "name", "number", "unit")], dtype=np.uint64)
@@ -99,7 +99,7 @@ def _kind(token: str, lower: str) -> int:
     return NAME if token[0].isupper() and len(token) > 1 and not token.isupper() else WORD
 
 
-def chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list, most: int = 300_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `most` code points."""
     lo = size = 0
     for k, t in enumerate(texts):
