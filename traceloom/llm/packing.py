@@ -32,7 +32,7 @@ SALTS = 1024
 #: Distinct words whose ids a task keeps at once.
 CACHE_WORDS = 300_000
 #: Code points of texts that are split into words at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: Code points, all of which the normaliser of word_bpe_49k.json only lower-cases
 #: or takes for white space, as Python does too: printable ASCII, tab, line feeds
 #: and Latin-1 letters.
