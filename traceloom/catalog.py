@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.plans import catalog_signal
+from traceloom.plans import catalog_coupling, catalog_signal
 
-MODULES = (catalog_signal,)
+MODULES = (catalog_signal, catalog_coupling)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
