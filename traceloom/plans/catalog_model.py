@@ -168,7 +168,7 @@ def circular_shift_within_run(spark, sf_dir):
     return I.circular_permutation(_blocks(spark, sf_dir), ["subject", "run"], ["o", "y"], "y", 3)
 
 
-@query(_BLOCKS + """, h1 AS (SELECT *, ((42 * 69069 + 1) * 1103515245 + 5 * 40692 + 12345) % 2147483648 AS a FROM b), h2 AS (SELECT *, (xor(a, a >> 13) * 69069 + 7) % 2147483648 AS c FROM h1),
+@query(_BLOCKS + """, h1 AS (SELECT *, (CAST(2900899 AS BIGINT) * 1103515245 + 5 * 40692 + 12345) % 2147483648 AS a FROM b), h2 AS (SELECT *, (xor(a, a >> 13) * 69069 + 7) % 2147483648 AS c FROM h1),
     h3 AS (SELECT *, (c * 1103515245 + o * 40692 + 12345) % 2147483648 AS d FROM h2), h4 AS (SELECT *, (xor(d, d >> 13) * 69069 + 7) % 2147483648 AS e FROM h3),
     h AS (SELECT *, xor(e, e >> 15) % 2147483648 AS g, row_number() OVER (PARTITION BY subject ORDER BY o, run, y) AS pos FROM h4),
     q AS (SELECT subject, y AS permuted, row_number() OVER (PARTITION BY subject ORDER BY g, o, run, y) AS pos FROM h)
@@ -191,7 +191,7 @@ def _units(spark, sf_dir):
 
 
 def _draw_sql(source: str, first: str, second: str, seed: int, modulus: int) -> str:
-    return f"""d0 AS (SELECT *, (({seed} * 69069 + 1) * 1103515245 + {first} * 40692 + 12345) % 2147483648 AS a FROM {source}), d1 AS (SELECT *, (xor(a, a >> 13) * 69069 + 7) % 2147483648 AS c FROM d0),
+    return f"""d0 AS (SELECT *, (CAST({seed * 69069 + 1} AS BIGINT) * 1103515245 + {first} * 40692 + 12345) % 2147483648 AS a FROM {source}), d1 AS (SELECT *, (xor(a, a >> 13) * 69069 + 7) % 2147483648 AS c FROM d0),
     d2 AS (SELECT *, (c * 1103515245 + {second} * 40692 + 12345) % 2147483648 AS d FROM d1), d3 AS (SELECT *, (xor(d, d >> 13) * 69069 + 7) % 2147483648 AS e FROM d2),
     dr AS (SELECT *, xor(e, e >> 15) % {modulus} AS g FROM d3)"""
 
