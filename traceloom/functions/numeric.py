@@ -76,6 +76,18 @@ def runs(flags: Named) -> Column:
     )
 
 
+def pinned(df, **columns: Column):
+    """df with columns computed once for each row.
+
+    A column that an array function reads for each element would else be folded
+    into that function and computed anew for each; the generator keeps them apart.
+    """
+    out = df
+    for name, c in columns.items():
+        out = out.withColumn(name, F.explode(F.array(c)))
+    return out
+
+
 def bh_adjust(df, p: str, out: str = "q", by: list[str] | None = None):
     """Benjamini-Hochberg adjusted p-values within groups, by rank and a running minimum from the largest on."""
     from pyspark.sql import Window

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.dims import Band, Window, minimum_samples
-from traceloom.functions.numeric import array_blank, divide, runs
+from traceloom.functions.numeric import array_blank, divide, pinned, runs
 from traceloom.operators.spatial import aggregate_space
 from traceloom.operators.temporal import long_measures
 
@@ -71,7 +71,7 @@ def burst_channels(envelopes: DataFrame, windows: Sequence[Window], baseline: Wi
         time = lambda i: F.col("t0") + i / F.col("sfreq")
         inside = lambda i: _any([w.holds(time(i)) for w in windows])
         calibration = F.transform("x", lambda v, i: F.when(inside(i), v))
-    rows = rows.withColumn("threshold", quantile(calibration, threshold))
+    rows = pinned(rows, threshold=quantile(calibration, threshold))
     parts = F.explode(F.array(*(F.struct(F.lit(w.name).alias("window"), _slice(F.col("x"), w).alias("w")) for w in windows)))
     rows = rows.select(*KEYS, "channel", "sfreq", "threshold", parts.alias("_p")).select("*", "_p.*").drop("_p")
     rows = rows.withColumns({"n": F.size("w"), "finite": _count(F.col("w")), "above": F.transform("w", lambda v: v > F.col("threshold"))})
@@ -118,7 +118,7 @@ def erds_channels(
     rows = power.withColumn("x", array_blank("x"))
     rows = rows.withColumn("base", _slice(F.col("x"), baseline))
     rows = rows.withColumns({"raw": _mean(F.col("base")), "scale": _mean(F.col("x")), "top": F.array_max(F.filter("x", lambda v: v.isNotNull())), "base_share": _count(F.col("base")) / F.size("base")})
-    rows = rows.withColumn("deviation", F.sqrt(_mean(F.transform("base", lambda v: F.pow(v - F.col("raw"), 2)))))
+    rows = pinned(rows, raw=F.col("raw")).withColumn("deviation", F.sqrt(_mean(F.transform("base", lambda v: F.pow(v - F.col("raw"), 2)))))
     degenerate = F.coalesce((F.col("raw") <= 0) | (F.col("raw") <= DEGENERATE * F.col("scale")), F.lit(True))
     rows = rows.withColumns({"baseline_degenerate": degenerate, "r": F.when(~degenerate, F.col("raw"))})
     rows = rows.withColumn("baseline_extreme_ratio", F.coalesce(F.col("top") > EXTREME * F.col("r"), F.lit(False)))
