@@ -35,7 +35,7 @@ MAX_LABELLED = 8000
 MAX_FEATURES = 512
 #: Lengths of the stems of a word that are features.
 STEMS = (4, 5, 6, 7, 8)
-SPACE = 1 << 22
+SPACE = 1 << 21
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Word lists of the voters (fixed values).
@@ -215,33 +215,30 @@ def _association(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
 
 def _fit_arrays(y: np.ndarray, ones: list[np.ndarray], twos: list[np.ndarray], lex: np.ndarray, names: list[str]) -> Model:
     na, nb = int(y.sum()), int(len(y) - y.sum())
-    doc = np.repeat(np.arange(len(y)), [len(o) + len(t) for o, t in zip(ones, twos)])
-    feature = np.concatenate([np.concatenate([o, t]) for o, t in zip(ones, twos)]).astype(np.int64)
-    doc2 = np.repeat(np.arange(len(y)), [len(t) for t in twos])
-    feature2 = np.concatenate(twos).astype(np.int64)
-    columns: list[tuple[int, int]] = []
-    tests = 0
+    # Texts by feature and label: at any count, and at two or more.
+    counts = np.zeros((2, 2, SPACE), dtype=np.int32)
+    for label, o, t in zip(y, ones, twos):
+        for level, own in ((0, o), (0, t), (1, t)):
+            counts[level, label, own] += 1
+    tests = int((counts.sum(axis=1) > 0).sum())
     scored = []
-    for level, d, f in ((1, doc, feature), (2, doc2, feature2)):
-        a = np.bincount(f[y[d] == 1], minlength=SPACE)
-        b = np.bincount(f[y[d] == 0], minlength=SPACE)
-        tests += int(((a + b) > 0).sum())
+    for level in (0, 1):
+        seen = np.flatnonzero(counts[level].any(axis=0))
+        b, a = counts[level][:, seen].astype(float)
         g = _association(a, b, na, nb)
         # A voter must be right more often than not, beside being no accident.
-        top = np.flatnonzero((g > 20) & (a / na > 3 * b / nb))
-        scored += [(-g[i], level, int(i), int(a[i]), int(b[i])) for i in top]
-    bar = 2 * np.log(max(tests, 2)) + 4
-    scored = [s for s in sorted(scored) if -s[0] > bar][:MAX_FEATURES]
-    place = {(s[1], s[2]): k for k, s in enumerate(scored)}
-    columns = [(s[1], s[2]) for s in scored]
+        top = np.flatnonzero((g > 2 * np.log(max(tests, 2)) + 4) & (a / na > 3 * b / nb))
+        scored += [(-float(g[i]), level + 1, int(seen[i])) for i in top]
+    columns = [s[1:] for s in sorted(scored)[:MAX_FEATURES]]
+    del counts
+    place = np.full((2, SPACE), -1, dtype=np.int16)
+    for k, (level, f) in enumerate(columns):
+        place[level - 1, f] = k
     found = np.zeros((len(y), len(columns)), dtype=np.float32)
-    for level, d, f in ((1, doc, feature), (2, doc2, feature2)):
-        own = {i: k for (lv, i), k in place.items() if lv == level}
-        if own:
-            keys = np.array(sorted(own))
-            at = np.searchsorted(keys, f)
-            hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == f)
-            found[d[hit], np.array([own[int(k)] for k in keys])[at[hit]]] = 1
+    for i, (o, t) in enumerate(zip(ones, twos)):
+        for level, own in ((0, o), (0, t), (1, t)):
+            at = place[level, own]
+            found[i, at[at >= 0]] = 1
     # Voters: each word list, the patterns, and the found stems in groups.
     k = len(names)
     voters = [np.where(lex[:, j] > 0, 1, 0) for j in range(k)]
