@@ -50,8 +50,8 @@ def prepare_channels(spark, sf_dir):
 
 
 @query(SOLID + """, c AS (SELECT *, CASE WHEN x > 0.15 THEN 1 WHEN x < -0.15 THEN 2 ELSE 0 END AS code FROM solid),
-    e AS (SELECT *, lag(code, 1, 0) OVER (PARTITION BY epoch, channel ORDER BY i) AS before FROM c), g AS (SELECT *, sum(CAST(code <> before AS INT)) OVER (PARTITION BY epoch, channel ORDER BY i) AS run FROM e)
-    SELECT epoch, channel, min(i) AS i, code, count(*) AS n FROM g WHERE code <> 0 GROUP BY epoch, channel, run, code HAVING count(*) >= 2""")
+    e AS (SELECT *, lag(code, 1, 0) OVER (PARTITION BY epoch, channel ORDER BY i) AS before FROM c), g AS (SELECT *, sum(CAST(code <> before AS INT)) OVER (PARTITION BY epoch, channel ORDER BY i) AS run_no FROM e)
+    SELECT epoch, channel, min(i) AS i, code, count(*) AS n FROM g WHERE code <> 0 GROUP BY epoch, channel, run_no, code HAVING count(*) >= 2""")
 def stimulus_events(spark, sf_dir):
     s = _traces(spark, sf_dir).select("epoch", "channel", F.posexplode("x").alias("i", "v")).withColumn("i", F.col("i").cast("bigint"))
     s = s.withColumn("x", F.when(F.col("v") > 0.15, 1).when(F.col("v") < -0.15, 2).otherwise(0))
