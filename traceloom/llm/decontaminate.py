@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm.shared import cut
+from traceloom.llm.shared import cut, map_arrow
 
 WIDTH = 8
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:;\n]+")
@@ -180,7 +180,7 @@ def windows(rows: DataFrame, id_col: str, text_col: str, widths: tuple[int, ...]
                     )
             row += len(texts)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def hash_bitmap(index: DataFrame, n: int) -> np.ndarray:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.llm.shared import map_arrow
+
 MARKUP = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|$))"  # comment
     r"|<(?:![^>]*|\?[^>]*)(?:>|$)"  # declaration
@@ -262,4 +264,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names
             )
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceloom.llm.shared import map_arrow
+
 END = 2
 MAX_LENGTH = 4096
 #: Ways that a bucket is dealt.
@@ -165,7 +167,7 @@ def cut_pieces(
                 [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], names=names
             )
 
-    return source.mapInArrow(run, empty.schema)
+    return map_arrow(source, run, empty.schema)
 
 
 def pack(

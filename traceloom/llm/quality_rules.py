@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm.shared import cut
+from traceloom.llm.shared import cut, map_arrow
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -99,7 +99,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
             cols = list(zip(*rows)) if rows else [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in cols)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def upper_bound(failures: int, n: int, error: float) -> float:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm.shared import cut, min_components
+from traceloom.llm.shared import cut, map_arrow, min_components
 
 BITS = 64
 #: Shingles hashed at once; bounds the memory that one long text takes.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
             cells = np.append(both.reshape(-1), n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["cell", "n"])
 
-    sums = fps.select("fp").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    sums = map_arrow(fps.select("fp"), run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     cells = np.zeros(BITS * BITS + 1)
     for r in sums:
         cells[r["cell"]] = r["n"]
@@ -227,7 +227,7 @@ def split_keys(rows: DataFrame, radius: int) -> DataFrame:
                     out[3].append(_signed((mask & (2**64 - 1)) | fine))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return rows.select("fp", "path", "key", "mask").mapInArrow(run, _ROWS)
+    return map_arrow(rows.select("fp", "path", "key", "mask"), run, _ROWS)
 
 
 def _links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -296,7 +296,7 @@ def verify(rows: DataFrame, radius: int) -> DataFrame:
             yield made(edges)
 
     dealt = rows.select("fp", "path", "key").repartition("path", "key").sortWithinPartitions("path", "key")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(dealt, run, "a bigint, b bigint")
 
 
 def fingerprint_links(spark: SparkSession, distinct: DataFrame, radius: int = 3, limit: int = LIMIT) -> DataFrame:

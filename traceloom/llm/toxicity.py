@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceloom.llm.shared import map_arrow
+
 #: Labelled rows that fitting reads at most.
 MAX_LABELLED = 8000
 #: Columns of the linear classifier at most.
@@ -194,7 +196,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
             )
 
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, toxic int, ones binary, twos binary, lex array<int>"
-    found = rows.mapInArrow(run, schema).orderBy("doc_id").limit(2 * max_labelled).collect()
+    found = map_arrow(rows, run, schema).orderBy("doc_id").limit(2 * max_labelled).collect()
     y = np.array([r["toxic"] for r in found], dtype=int)
     if len(y) < 20 or not 0 < y.sum() < len(y):
         return _default_model()
@@ -275,4 +277,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             values = [of(None if t is None else str(t)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.llm.shared import map_arrow
+
 #: (host, path, verdict) (fixed values).
 RULES = (
     ("com", "/en/", "block"),
@@ -136,4 +138,4 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("unwanted") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.mapInArrow(run, schema).select("id", "host", "path", name.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "unwanted")
+    return map_arrow(rows, run, schema).select("id", "host", "path", name.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "unwanted")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm.shared import scratch_path
+from traceloom.llm.shared import map_arrow, scratch_path
 
 #: Field names of a record header by ARC version (fixed values).
 FIELDS = {
@@ -253,7 +253,7 @@ def write_archive(
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    written = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    written = map_arrow(rows, run, "value binary").select(F.col("value").cast("string").alias("value"))
     written.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -290,7 +290,7 @@ def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> Dat
                 )
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    found = files.mapInArrow(run, "id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
+    found = map_arrow(files, run, "id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
     return found.withColumns({c: F.col(c).cast(id_type) for c in ("id", "refers_to")})
 
 
