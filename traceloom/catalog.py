@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.plans import catalog_coupling, catalog_model, catalog_prepare, catalog_signal, catalog_table
+from traceloom.plans import catalog_coupling, catalog_model, catalog_prepare, catalog_recipe, catalog_signal, catalog_table
 
-MODULES = (catalog_signal, catalog_coupling, catalog_table, catalog_model, catalog_prepare)
+MODULES = (catalog_signal, catalog_coupling, catalog_table, catalog_model, catalog_prepare, catalog_recipe)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

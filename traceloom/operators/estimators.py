@@ -34,9 +34,9 @@ def _windowed(traces: DataFrame, windows: Sequence[Window]) -> DataFrame:
 
 
 def axis(n: int, sfreq: float, fmin: float, fmax: float) -> tuple[np.ndarray, np.ndarray]:
-    """Fourier bins of n samples from fmin to fmax, and their places."""
-    f = np.fft.rfftfreq(n, 1 / sfreq)
-    at = np.flatnonzero((f >= fmin - 1e-9) & (f <= fmax + 1e-9))
+    """Fourier bins of n samples that span fmin to fmax, and their places: up to one bin beyond either end."""
+    f, step = np.fft.rfftfreq(n, 1 / sfreq), sfreq / n
+    at = np.flatnonzero((f > fmin - step + 1e-9) & (f < fmax + step - 1e-9))
     return f[at], at
 
 
