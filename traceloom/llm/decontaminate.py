@@ -200,13 +200,14 @@ def hash_bitmap(index: DataFrame, n: int) -> np.ndarray:
 
 def contaminated(
     spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
-    width: int = WIDTH, coverage: float = 0.4, enough: int = 25, least_words: int = 5,
+    width: int = WIDTH, coverage: float = 0.5, template_coverage: float = 0.7, enough: int = 25, least_words: int = 5,
 ) -> DataFrame:
     """(key, id, item_id, coverage, covered_tokens, kind) of the pairs reported.
 
     kind is "exact" if every slot of the pair's windows holds the item's value,
     else "reparameterised". A pair is reported if consistent windows cover the
-    share `coverage` of the item's tokens, or `enough` tokens.
+    share `coverage` of the item's tokens, or `enough` tokens; where slots differ,
+    which says less, the share must be `template_coverage`.
     """
     items = cut(spark, windows(benchmark, item_col, "text", None, None, width, least_words), "item-windows")
     # An item's repeated windows count once; its rows are few beside the documents'.
@@ -241,4 +242,6 @@ def contaminated(
     )
     out = whole.select("key", "id", "item_id", covered.alias("covered_tokens"), "item_tokens", F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"))
     out = out.withColumn("coverage", F.col("covered_tokens") / F.col("item_tokens"))
-    return out.where((F.col("coverage") >= coverage) | (F.col("covered_tokens") >= enough)).drop("item_tokens")
+    exact = F.col("kind") == "exact"
+    enough_exact = exact & ((F.col("coverage") >= coverage) | (F.col("covered_tokens") >= enough))
+    return out.where(enough_exact | (F.col("coverage") >= template_coverage)).drop("item_tokens")

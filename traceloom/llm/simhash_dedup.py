@@ -336,14 +336,9 @@ def near_duplicates(
     distinct = cut(spark, fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     links = fingerprint_links(spark, distinct.select("fp"), radius, limit)
     groups = min_components(spark, links)
-    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    linked = named.where("component <> fp").select("component").distinct()
-    least = (
-        named.join(linked, "component", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"))
-    )
+    groups = cut(spark, groups.withColumnRenamed("node", "fp"), "groups")
+    named = distinct.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     # Written first, so that a large group's rows can be split in the join.
-    least = cut(spark, least, "least")
+    least = cut(spark, distinct.join(groups, "fp").groupBy("component").agg(F.min("least").alias("component_id")), "least")
     label = named.join(least, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(label, "fp").select("id", "fp", "component_id")

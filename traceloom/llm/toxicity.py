@@ -37,7 +37,7 @@ MAX_LABELLED = 8000
 MAX_FEATURES = 512
 #: Lengths of the stems of a word that are features.
 STEMS = (4, 5, 6, 7, 8)
-SPACE = 1 << 21
+SPACE = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Word lists of the voters (fixed values).
@@ -140,12 +140,12 @@ def label_model(votes: np.ndarray, seen: np.ndarray, prior: float, rounds: int =
 def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.3, rounds: int = 30) -> tuple[float, np.ndarray]:
     """Bias and weights of an L2-penalised logistic regression on soft labels, by Newton steps."""
     n, k = x.shape
-    a = np.hstack([np.ones((n, 1)), x])
+    a = np.hstack([np.ones((n, 1), dtype=x.dtype), x])
     w = np.zeros(k + 1)
     ridge = np.diag(np.r_[1e-3, np.full(k, penalty)])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + ridge
+        h = (a * (p * (1 - p) + 1e-6)[:, None].astype(a.dtype)).T @ a + ridge
         step = np.linalg.solve(h, a.T @ (q - p) - ridge @ w)
         w += step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-4:
@@ -255,7 +255,7 @@ def _fit_arrays(y: np.ndarray, ones: list[np.ndarray], twos: list[np.ndarray], l
         voters.append(np.where(found.any(axis=1) | (lex[:, :k].sum(axis=1) > 0), 0, -1))
     votes = np.stack(voters, axis=1).astype(np.int8)
     q, _, _ = label_model(votes, y, min(0.5, max(0.005, na / len(y))))
-    x = np.hstack([found, lex[:, :k] > 0, lex[:, :k] > 1]).astype(np.float64)
+    x = np.hstack([found, lex[:, :k] > 0, lex[:, :k] > 1]).astype(np.float32)
     bias, w = logistic(x, q)
     model = Model(bias)
     for (level, f), weight in zip(columns, w):
