@@ -191,8 +191,7 @@ def cross_fit_ridge(rows: DataFrame, columns: Sequence[str], y: str, group: str,
     table = rows.sparkSession.createDataFrame([(g, [float(v) for v in w]) for g, w in fits.items()], f"{group} {dict(rows.dtypes)[group]}, _w array<double>")
     x = F.array(F.lit(1.0), *(F.col(c).cast("double") for c in columns))
     dot = F.aggregate(F.zip_with(x, F.col("_w"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    # One row of weights for each group.
-    return rows.join(F.broadcast(table), group, "left").withColumn("p", dot).drop("_w"), chosen
+    return rows.join(table, group, "left").withColumn("p", dot).drop("_w"), chosen
 
 
 def ridge_null(rows: DataFrame, columns: Sequence[str], targets: Sequence[str], group: str, alpha: float) -> dict[str, float]:

@@ -150,7 +150,7 @@ def univariate_screen(cells: DataFrame, flips: int = 1000, seed: int = 42) -> Da
     """
     own = cells.groupBy("feature", "subject").agg(fisher_z(safe_pearson("value", "y")).alias("z")).where("z is not null")
     number = own.select("subject").distinct().withColumn("unit", F.row_number().over(Window.orderBy("subject")))
-    own = own.join(F.broadcast(number), "subject")
+    own = own.join(number, "subject")
 
     def t_of(v: Column) -> Column:
         return divide(F.avg(v), F.stddev_samp(v) / F.sqrt(F.count(v)))
@@ -172,7 +172,7 @@ def univariate_screen(cells: DataFrame, flips: int = 1000, seed: int = 42) -> Da
 
 def importance_by(importance: DataFrame, meta: DataFrame, field: str, validate: bool = False) -> DataFrame:
     """Sum of features' importance over a metadata field."""
-    rows = importance.join(F.broadcast(meta.select("feature", field)), "feature")
+    rows = importance.join(meta.select("feature", field), "feature")
     if validate and not rows.where(blank("importance").isNull()).isEmpty():
         raise ValueError("an importance is missing")
     return rows.groupBy(field).agg(F.sum("importance").alias("importance"))

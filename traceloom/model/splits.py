@@ -26,7 +26,7 @@ def fold_numbers(rows: DataFrame, group: str = "subject") -> DataFrame:
 
 def test_fold(rows: DataFrame, group: str = "subject") -> DataFrame:
     """rows with the fold that tests them, the compact form of loso_folds."""
-    return rows.join(F.broadcast(fold_numbers(rows, group).withColumnRenamed("held_out", group)), group)
+    return rows.join(fold_numbers(rows, group).withColumnRenamed("held_out", group), group)
 
 
 def forward_folds(rows: DataFrame, key: Sequence[str], subject: str = "subject", run: str = "run", most: int | None = None) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceloom.functions.dims import Band, Window
-from traceloom.operators import complexity, connectivity, estimators, phase, spectral
-from traceloom.plans.catalog_signal import ALPHA, FREQS, KEYS
+from traceloom.operators import complexity, connectivity, estimators, models_of_spectra, phase, spectral
+from traceloom.plans.catalog_signal import _SEGMENTS, ALPHA, BKEYS, FREQS, KEYS, _per
 from traceloom.plans.sqltools import r, rounded, spatial
 from traceloom.sources import views
 from traceloom.sources.views import with_views
@@ -276,3 +276,25 @@ def irasa(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (welch_band_power, multitaper_band_power, morlet_power, band_signal_itpc, spectral_connectivity_fourier, irasa)}
+
+
+def spectral_parameterization(spark, sf_dir):
+    return models_of_spectra.spectral_parameterization(views.spectra(spark, sf_dir), FREQS, [ALPHA])
+
+
+def cycle_features(spark, sf_dir):
+    return models_of_spectra.cycle_features(views.traces(spark, sf_dir, gaps=False), [ALL], [ALPHA], 64.0, {"monotonicity": 0.4, "min_cycles": 1})
+
+
+def connectivity_over_time(spark, sf_dir):
+    return models_of_spectra.connectivity_over_time(views.traces(spark, sf_dir, gaps=False), ["coh", "plv", "wpli"], [Band("b", 12.0, 20.0)], ALL, [12.0, 14.0, 16.0, 18.0], 64.0, 3.0)
+
+
+def custom_spectral_measure(spark, sf_dir):
+    """A user's kernel over spectra: the band integral."""
+    out = models_of_spectra.spectral_measure(views.spectra(spark, sf_dir), FREQS, lambda p, f, w: p @ w, "own_power", [ALPHA])
+    return rounded(out, "value", "coverage")
+
+
+QUERIES |= {f.__name__: f for f in (spectral_parameterization, cycle_features, connectivity_over_time, custom_spectral_measure)}
+SQL["custom_spectral_measure"] = _SEGMENTS + ", per AS (SELECT * FROM (" + _per("own_power", "total").split("AS (", 1)[1].rstrip()[:-1] + ") WHERE band = 'alpha') " + spatial("per", BKEYS)

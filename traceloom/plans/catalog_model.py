@@ -10,6 +10,7 @@ from traceloom.model import estimators as E
 from traceloom.model import inference as I
 from traceloom.model import metrics as M
 from traceloom.model import splits as S
+from traceloom.model import workflow as W
 from traceloom.plans.sqltools import r, rounded
 from traceloom.sources import views
 from traceloom.sources.views import with_views
@@ -353,3 +354,37 @@ def linear_attribution(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     d = _design(spark, sf_dir).where("subject = 0")
     return rounded(I.permutation_importance(d, ["quantity", "tax"], [1500.0, 10.0], 0.0, "row", repeats=2), "importance")
+
+
+# Workflows -------------------------------------------------------------------------------
+
+
+@query()
+def run_model(spark, sf_dir):
+    """Scores of a recipe's ridge model and of its baselines."""
+    recipe = W.load_model_recipe({"task": "regression", "target": "y", "group": "subject", "features": list(_X), "covariates": ["age"], "models": ["ridge", "scaled_ridge"]})
+    return W.run_model(_design(spark, sf_dir), recipe)[1]
+
+
+@query()
+def permutation_test(spark, sf_dir):
+    """Observed and p of a ridge null of a few draws."""
+    d = _design(spark, sf_dir).where("row % 10 = 1")
+    out = W.permutation_test(d, list(_X), "subject", ["row", "y"], 1.0, 5)
+    return spark.createDataFrame([(out["observed"], out["p"])], "observed double, p double")
+
+
+@query()
+def quantile_intervals(spark, sf_dir):
+    """Conformalised quantile intervals of one subject's rows."""
+    d = _design(spark, sf_dir)
+    out = W.quantile_intervals(d.where("subject < 3"), d.where("subject = 3"), d.where("subject = 4"), list(_X))
+    return out.select("row", "y", "lower", "upper")
+
+
+@query()
+def staged_residuals(spark, sf_dir):
+    """Features and target of a held-out subject after the staged preprocessing of the others."""
+    d = _design(spark, sf_dir)
+    state = W.fit_staged(d.where("subject <> 0"), list(_X), ["age"], "subject")
+    return state.transform(d.where("subject = 0")).select("row", *state.features, "target")
