@@ -76,6 +76,32 @@ def runs(flags: Named) -> Column:
     )
 
 
+def running_sums(df, order: str, columns: dict[str, str], by: list[str] | None = None, descending: bool = False, buckets: int = 256):
+    """df with running sums, the row's own value included, in the order of one column whose values are distinct.
+
+    columns maps new names to summed columns. Without by, rows are dealt to
+    buckets between approximate quantiles of the order column, summed within and
+    shifted by the sums of the buckets before, so that no task takes all rows.
+    """
+    from pyspark.sql import Window
+
+    sign = -F.col(order) if descending else F.col(order)
+    if by:
+        w = Window.partitionBy(*by).orderBy(sign).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: F.sum(c).over(w) for n, c in columns.items()})
+    cuts = df.agg(F.percentile_approx(sign, [k / buckets for k in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
+    bounds = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    placed = df.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b < sign)))
+    w = Window.partitionBy("_bucket").orderBy(sign).rowsBetween(Window.unboundedPreceding, 0)
+    inner = placed.withColumns({n: F.sum(c).over(w) for n, c in columns.items()})
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_bucket").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in columns.items()))
+    # At most `buckets` rows.
+    shifts = totals.select("_bucket", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in columns))
+    out = inner.join(F.broadcast(shifts), "_bucket")
+    return out.withColumns({n: F.col(n) + F.col(f"_s_{n}") for n in columns}).drop("_bucket", *(f"_s_{n}" for n in columns))
+
+
 def pinned(df, **columns: Column):
     """df with columns computed once for each row.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.functions.numeric import bh_adjust, blank, divide, fisher_z, safe_pearson
+from traceloom.functions.numeric import bh_adjust, blank, divide, fisher_z, running_sums, safe_pearson
 
 EPS = 100 * 2.220446049250313e-16
 
@@ -79,8 +79,9 @@ def changed_fraction(rows: DataFrame, a: str, b: str, by: Sequence[str] = ()) ->
 def conformal_quantile(residuals: DataFrame, value: str, alpha: float, by: Sequence[str] = ()) -> DataFrame:
     """(by, quantile): the ceil((n + 1)(1 - alpha))-th smallest residual; infinite if there are too few."""
     counts = residuals.groupBy(*by, value).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumns({"upto": F.sum("k").over(w.orderBy(value)), "n": F.sum("k").over(w)})
+    upto = running_sums(counts, value, {"upto": "k"}, list(by))
+    total = residuals.groupBy(*by).agg(F.count("*").alias("n"))
+    ranked = upto.join(total, list(by)) if by else upto.join(F.broadcast(total))
     need = F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9)
     return ranked.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("upto") >= need, F.col(value))), F.lit(float("inf"))).alias("quantile"))
 
@@ -178,15 +179,23 @@ def importance_by(importance: DataFrame, meta: DataFrame, field: str, validate:
     return rows.groupBy(field).agg(F.sum("importance").alias("importance"))
 
 
+#: Rows of a block within which a column is rearranged.
+BLOCK_ROWS = 100_000
+
+
 def permutation_importance(rows: DataFrame, features: Sequence[str], weights: Sequence[float], bias: float, order: str, repeats: int = 5, seed: int = 42) -> DataFrame:
-    """(feature, importance): mean drop of r^2 of a linear model when a column is rearranged."""
+    """(feature, importance): mean drop of r^2 of a linear model when a column is rearranged.
+
+    Columns are rearranged within random blocks of about BLOCK_ROWS rows.
+    """
     total = lambda skip=None, moved=None: sum(((F.col(moved) if f == skip else F.col(f)) * float(w) for f, w in zip(features, weights)), F.lit(float(bias)))
     r2 = lambda p: 1 - divide(F.sum(F.pow(F.col("y") - p, 2)), F.var_pop("y") * F.count("y"))
     base = rows.agg(r2(total()).alias("base"))
+    blocks = max(1, rows.count() // BLOCK_ROWS)
     out = None
     for f in features:
         for k in range(repeats):
-            moved = block_permutation(rows.withColumn("_all", F.lit(0)), ["_all"], order, f, k, seed)
+            moved = block_permutation(rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(k), F.col(order)), F.lit(blocks))), ["_block"], order, f, k, seed)
             one = moved.agg(r2(total(f, "permuted")).alias("s")).select(F.lit(f).alias("feature"), "s")
             out = one if out is None else out.unionByName(one)
     return out.join(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base") - F.col("s")).alias("importance"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.functions.numeric import divide, fisher_z, is_finite, safe_pearson
+from traceloom.functions.numeric import divide, fisher_z, is_finite, running_sums, safe_pearson
 
 
 def regression_metrics(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -84,9 +84,9 @@ def auc(rows: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "sco
     rows.
     """
     counts = rows.groupBy(*by, score).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    mid = F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2
-    ranked = counts.withColumn("rank_sum", mid * F.col("pos"))
+    upto = running_sums(counts, score, {"upto": "n"}, list(by))
+    mid = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
+    ranked = upto.withColumn("rank_sum", mid * F.col("pos"))
     pos, n = F.sum("pos").cast("double"), F.sum("n").cast("double")
     return ranked.groupBy(*by).agg(divide(F.sum("rank_sum") - pos * (pos + 1) / 2, pos * (n - pos)).alias("auc"))
 
@@ -94,8 +94,7 @@ def auc(rows: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "sco
 def average_precision(rows: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "score") -> DataFrame:
     """(by, average_precision): precision at each distinct score, weighted by the recall gained there."""
     counts = rows.groupBy(*by, score).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumns({"tp": F.sum("pos").over(w), "seen": F.sum("n").over(w)})
+    cum = running_sums(counts, score, {"tp": "pos", "seen": "n"}, list(by), descending=True)
     return cum.groupBy(*by).agg(divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos").cast("double")).alias("average_precision"))
 
 
