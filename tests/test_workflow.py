@@ -165,3 +165,25 @@ def test_windows_over_a_stream_are_those_over_the_batch(spark, tmp_path):
     q.stop()
     key = lambda rows: sorted((r["start"], r["event_type"], r["n"]) for r in rows)
     assert key(spark.table("tumbled").collect()) == key(SW.tumbling(events, "1 day", ["event_type"]).collect())
+
+
+def test_feature_meta(spark):
+    from traceloom.functions.dims import Computation
+    from traceloom.functions.meta import FeatureMeta, meta_table
+
+    m = FeatureMeta("Band_Power", "C 3", "channel", "V2", "psd", Computation("welch"), Band("alpha", 8, 13), "stim", (0.0, 1.0), "db")
+    other = FeatureMeta("Band_Power", "C 3", "channel", "V2", "psd", Computation("welch", '{"n":2}'), Band("alpha", 8, 13), "stim", (0.0, 1.0), "db")
+    assert m.feature.startswith("tl_band-power_alpha_c-3_stim_db_p") and m.feature != other.feature
+    assert meta_table(spark, [m, other]).count() == 2
+    with pytest.raises(ValueError):
+        meta_table(spark, [m, m])
+    with pytest.raises(ValueError):
+        FeatureMeta("x", "y", "planet", "V", "psd", Computation("w"))
+
+
+def test_metadata_joins_by_sample_and_label(spark):
+    from traceloom.operators.preprocess import attach_metadata
+
+    e = spark.createDataFrame([("r", 10, "a"), ("r", 20, "b"), ("r", 30, "c")], "recording string, i long, label string")
+    s = spark.createDataFrame([("r", 1.0, "a", 5), ("r", 2.0, "b", 6), ("r", 2.0, "x", 7)], "recording string, onset double, label string, rating int")
+    assert {(r["i"], r["rating"]) for r in attach_metadata(e, s, 10.0).collect()} == {(10, 5), (20, 6), (30, None)}

@@ -65,6 +65,20 @@ def balanced_folds(rows: DataFrame, group: str, n_splits: int) -> DataFrame:
     return rows.sparkSession.createDataFrame(dealt, f"{group} {dict(rows.dtypes)[group]}, fold int")
 
 
+def within_subject_folds(rows: DataFrame, key: Sequence[str], subject: str = "subject", run: str = "run", n_splits: int = 3) -> DataFrame:
+    """Run-disjoint folds within each subject: (fold, subject, key, role); runs are dealt by size, the largest first.
+
+    A subject has at most as many folds as runs; those with one run have none.
+    """
+    runs = rows.groupBy(subject, run).agg(F.count("*").alias("_size"))
+    w = Window.partitionBy(subject)
+    dealt = runs.withColumns({"_rank": F.row_number().over(w.orderBy(F.desc("_size"), run)) - 1, "_runs": F.count("*").over(w)}).where("_runs >= 2")
+    dealt = dealt.withColumn("_own", F.pmod(F.col("_rank"), F.least("_runs", F.lit(n_splits))).cast("int"))
+    folds = dealt.select(subject, F.col("_own").alias("_test")).distinct().withColumn("fold", F.row_number().over(Window.orderBy(subject, "_test")))
+    both = rows.join(dealt.select(subject, run, "_own"), [subject, run]).join(folds, subject)
+    return both.select("fold", subject, *[k for k in key if k != subject], F.when(F.col("_own") == F.col("_test"), "test").otherwise("train").alias("role"))
+
+
 def split_count(n_groups: int, default: int = 5) -> int:
     if n_groups < 2:
         raise ValueError("at least two groups are needed")

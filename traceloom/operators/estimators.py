@@ -100,6 +100,33 @@ def morlet(traces: DataFrame, windows: Sequence[Window], sfreq: float, freqs: Se
     return traces.select(*KEYS, "channel", F.explode(run("x", "t0")).alias("c")).select(*KEYS, "channel", "c.*")
 
 
+def reduce_tfr(tfr: DataFrame, windows: Sequence[Window], freqs: Sequence[float], cycles: Sequence[float], statistic: str = "mean") -> DataFrame:
+    """Window means or medians of time-frequency power, by coefficients whose support lies in the window.
+
+    tfr: keys, channel, bin, t0, sfreq and p (array over time). Row: keys, channel,
+    window, bin, p, support; built-in array functions within the row. The mean is
+    divided by the sampling rate, the median by ln 2 besides.
+    """
+    reach = F.get(F.array(*(F.lit(5 * float(c) / (2 * np.pi * float(f))) for f, c in zip(freqs, cycles))), F.col("bin"))
+    n, last = F.size("p"), F.col("t0") + (F.size("p") - 1) / F.col("sfreq")
+    parts = []
+    for w in windows:
+        first, size = w.bounds(F.col("t0"), F.col("sfreq"), n)
+        low = F.greatest(F.lit(w.tmin), F.col("t0")) + reach if np.isfinite(w.tmin) else F.col("t0") + reach
+        high = F.least(F.lit(w.tmax), last) - reach if np.isfinite(w.tmax) else last - reach
+        lo = F.greatest(F.lit(0), F.ceil((low - F.col("t0")) * F.col("sfreq") - 1e-9)).cast("int")
+        hi = F.least(n - 1, F.floor((high - F.col("t0")) * F.col("sfreq") + 1e-9)).cast("int")
+        own = F.slice("p", lo + 1, F.greatest(hi - lo + 1, F.lit(0)))
+        parts.append(F.struct(F.lit(w.name).alias("window"), own.alias("own"), size.alias("size")))
+    rows = tfr.select(*KEYS, "channel", "bin", "sfreq", F.explode(F.array(*parts)).alias("_w")).select(*KEYS, "channel", "bin", "sfreq", "_w.*")
+    whole = (F.size("own") > 0) & F.forall("own", lambda v: v.isNotNull() & ~F.isnan(v))
+    sums = F.aggregate("own", F.lit(0.0), lambda s, v: s + v) / F.size("own")
+    ordered = F.array_sort("own")
+    middle = (F.get(ordered, F.floor((F.size("own") - 1) / 2).cast("int")) + F.get(ordered, F.floor(F.size("own") / 2).cast("int"))) / 2
+    value = sums if statistic == "mean" else middle / float(np.log(2))
+    return rows.select(*KEYS, "channel", "window", "bin", F.when(whole, value / F.col("sfreq")).alias("p"), (F.size("own") / F.greatest("size", F.lit(1))).alias("support"))
+
+
 def band_signal(traces: DataFrame, band: Band, sfreq: float, pad_seconds: float = 0.5, pad_cycles: float = 3.0) -> DataFrame:
     """Analytic band signals: keys, run if there, channel, band, sfreq, re, im; a trace with a bad sample is all null."""
 

@@ -296,5 +296,27 @@ def custom_spectral_measure(spark, sf_dir):
     return rounded(out, "value", "coverage")
 
 
+_TF, _TC = [8.0, 12.0, 16.0, 24.0], [3.0, 3.0, 3.0, 3.0]
+
+
+def _reduced(statistic):
+    def query(spark, sf_dir):
+        t = views.traces(spark, sf_dir, gaps=False).withColumn("bin", F.substring("channel", 2, 1).cast("int"))
+        t = t.select("recording", "epoch", "event", "channel", "bin", "t0", "sfreq", F.transform("x", lambda v: v * v).alias("p"))
+        return rounded(estimators.reduce_tfr(t, [ALL, LATE], _TF, _TC, statistic), "p", "support", digits=8)
+
+    return query
+
+
+for _s, _e in (("mean", "avg(x * x) / 64"), ("median", "quantile_cont(x * x, 0.5) / ln(2) / 64")):
+    QUERIES[f"tfr_window_{_s}"] = _reduced(_s)
+    SQL[f"tfr_window_{_s}"] = with_views("solid") + f""",
+    f(bin, f) AS (VALUES (0, 8.0e0), (1, 12.0e0), (2, 16.0e0), (3, 24.0e0)), w(win, t0, t1, n) AS (VALUES ('all', 0.0e0, 0.984375e0, 64), ('late', 0.5e0, 0.984375e0, 32)),
+    s AS (SELECT *, CAST(substr(channel, 2, 1) AS INT) AS bin FROM solid),
+    k AS (SELECT DISTINCT recording, epoch, event, channel, bin FROM s)
+    SELECT k.recording, k.epoch, k.event, k.channel, win AS "window", k.bin, round({_e}, 8) + 0.0e0 AS p, round(count(x) * 1.0e0 / any_value(w.n), 8) AS support
+    FROM k JOIN f USING (bin) CROSS JOIN w LEFT JOIN s ON s.epoch = k.epoch AND s.channel = k.channel AND s.t >= w.t0 + 15 / (2 * pi() * f.f) - 1e-9 AND s.t <= w.t1 - 15 / (2 * pi() * f.f) + 1e-9
+    GROUP BY k.recording, k.epoch, k.event, k.channel, win, k.bin"""
+
 QUERIES |= {f.__name__: f for f in (spectral_parameterization, cycle_features, connectivity_over_time, custom_spectral_measure)}
 SQL["custom_spectral_measure"] = _SEGMENTS + ", per AS (SELECT * FROM (" + _per("own_power", "total").split("AS (", 1)[1].rstrip()[:-1] + ") WHERE band = 'alpha') " + spatial("per", BKEYS)

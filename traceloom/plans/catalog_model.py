@@ -49,6 +49,15 @@ def forward_folds(spark, sf_dir):
     return S.forward_folds(li, ["row_id"])
 
 
+@query("""WITH t AS (SELECT l_suppkey AS subject, l_linenumber AS run, l_orderkey * 10 + l_linenumber AS row_id FROM lineitem),
+    z AS (SELECT subject, run, count(*) AS size FROM t GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY size DESC, run) - 1 AS rk, count(*) OVER (PARTITION BY subject) AS k FROM z),
+    o AS (SELECT subject, run, rk % least(k, 3) AS own FROM d WHERE k >= 2), f AS (SELECT subject, own AS test, row_number() OVER (ORDER BY subject, own) AS fold FROM (SELECT DISTINCT subject, own FROM o))
+    SELECT CAST(fold AS INT) AS fold, t.subject, row_id, CASE WHEN own = test THEN 'test' ELSE 'train' END AS role FROM t JOIN o ON o.subject = t.subject AND o.run = t.run JOIN f ON f.subject = t.subject""")
+def within_subject_folds(spark, sf_dir):
+    li = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_linenumber").alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"))
+    return S.within_subject_folds(li, ["row_id"])
+
+
 @query()
 def balanced_folds(spark, sf_dir):
     """Whole groups dealt to five folds of near equal size."""
