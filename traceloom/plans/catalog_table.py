@@ -100,17 +100,17 @@ def concat_tables(spark, sf_dir):
     return T.concat([a, b], flags=["flagged"])
 
 
-@query(CELLS + "SELECT feature, count(*) AS n FROM cells WHERE recording IN ('r0', 'r1') GROUP BY feature")
+@query(CELLS + "SELECT feature, count(*) AS n FROM cells GROUP BY feature")
 def stack_identical(spark, sf_dir):
     cells = views.features(spark, sf_dir)
-    return T.stack_rows([cells.where("recording = 'r0'"), cells.where("recording = 'r1'")]).groupBy("feature").agg(F.count("*").alias("n"))
+    return T.stack_rows([cells.where("recording < 'r3'"), cells.where("recording >= 'r3'")]).groupBy("feature").agg(F.count("*").alias("n"))
 
 
-@query(CELLS + """SELECT recording, feature, CASE WHEN recording = 'r1' AND feature = 'tax' THEN count(DISTINCT (epoch, event)) ELSE count(*) END AS n, count(value) AS n_values, sum(CASE WHEN recording = 'r1' AND feature = 'tax' THEN 0 ELSE 1 END) AS n_covered
-          FROM (SELECT recording, epoch, event, feature, CASE WHEN recording = 'r1' AND feature = 'tax' THEN NULL ELSE value END AS value FROM cells WHERE recording IN ('r0', 'r1')) GROUP BY recording, feature""")
+@query(CELLS + """SELECT recording, feature, CASE WHEN recording >= 'r3' AND feature = 'tax' THEN count(DISTINCT (epoch, event)) ELSE count(*) END AS n, count(value) AS n_values, sum(CASE WHEN recording >= 'r3' AND feature = 'tax' THEN 0 ELSE 1 END) AS n_covered
+          FROM (SELECT recording, epoch, event, feature, CASE WHEN recording >= 'r3' AND feature = 'tax' THEN NULL ELSE value END AS value FROM cells) GROUP BY recording, feature""")
 def stack_union(spark, sf_dir):
     cells = views.features(spark, sf_dir)
-    out = T.stack_rows([cells.where("recording = 'r0'"), cells.where("recording = 'r1' and feature <> 'tax'")], "union")
+    out = T.stack_rows([cells.where("recording < 'r3'"), cells.where("recording >= 'r3' and feature <> 'tax'")], "union")
     return out.groupBy("recording", "feature").agg(F.count("*").alias("n"), F.count("value").alias("n_values"), F.count_if(F.col("coverage") > 0).alias("n_covered"))
 
 
