@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -32,8 +34,22 @@ def shared_folder(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+_SEEN: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the application may have ended by itself
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/llm-scratch/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in a part of it that goes when the driver ends."""
+    root = f"{shared_folder(spark)}/llm-scratch/{spark.sparkContext.applicationId}"
+    if root not in _SEEN:
+        _SEEN.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
