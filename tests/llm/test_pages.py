@@ -38,6 +38,13 @@ def test_odd_markup():
     assert html_text.main_text("<table><tr><td>a<td>b<tr><td>c</table>") == "a\nb\nc"
 
 
+def test_names_of_parts():
+    assert html_text.main_text('<div class="layout has-sidebar"><div class="header"><p>Site</p></div><article><header class="entry-header"><h1>T</h1></header><p>x</p></article></div>') == "T\nx"
+    assert html_text.main_text('<div class="with-sidebar"><p>all there is</p></div>') == "all there is"
+    assert html_text.main_text('<article><p>text</p></article><section class="comments"><article class="comment"><p>long comment, long comment</p></article><article>no</article></section>') == "text"
+    assert html_text.main_text('<div id="SideBar"><p>side</p></div><div class="post-header">Head</div><p>rest</p>') == "Head\nrest"
+
+
 def test_density_prefers_text_to_links():
     links = "".join(f'<p><a href="/{i}">a link text here</a></p>' for i in range(30))
     text = "".join(f"<p>Paragraph {i} has a good deal of running text and no link at all.</p>" for i in range(8))

@@ -63,6 +63,9 @@ PARTS = frozenset(
     "newsletter subscribe subscription signup login share sharing social comment comments commentary disqus reply replies respond related recommended "
     "recommendations widget widgets toolbar pagination pager skip search copyright legal complementary contentinfo dialog disclaimer feedback rail".split()
 )
+#: Words that make a page's header of a block, unless one of the article's own words is beside them.
+HEADERS = frozenset("header heading".split())
+OWN = frozenset("article post entry story content main body text".split())
 NAME_WORDS = re.compile(r"[a-z]+")
 
 
@@ -79,14 +82,19 @@ def _names_a_part(name: str, rest: str, in_article: bool) -> bool:
         return True
     if name == "header":
         return not in_article
-    if not rest or name in ("html", "body", "article", "main"):
+    if not rest or name in ("html", "body", "main"):
         return False
     for key, a, b, c in ATTRIBUTE.findall(rest):
         key = key.lower()
         if key in ("class", "id", "role"):
             value = re.sub(r"([a-z])([A-Z])", r"\1 \2", unescape(a or b or c)).lower()
             words = NAME_WORDS.findall(value)
-            if PARTS.intersection(words) or key == "role" and "banner" in words:
+            if name == "article":
+                if "comment" in words or "comments" in words or "advert" in words or "ad" in words:
+                    return True
+            elif PARTS.intersection(words):
+                return True
+            elif not in_article and HEADERS.intersection(words) and not OWN.intersection(words):
                 return True
         elif key == "hidden" or key == "aria-hidden" and (a or b or c).lower() == "true":
             return True
@@ -95,10 +103,15 @@ def _names_a_part(name: str, rest: str, in_article: bool) -> bool:
     return False
 
 
-def parse(html: str) -> Node:
-    """A tree of nodes and strings; strings are still encoded."""
+def parse(html: str, by_names: bool = True) -> Node:
+    """A tree of nodes and strings; strings are still encoded.
+
+    Parts beside the article are marked as cut: by their elements and, with
+    by_names, by the words of their class, id and role. What holds the page's
+    first article is never cut by such words.
+    """
     root = Node("html", None, False)
-    node, at, article = root, 0, 0
+    node, at, article, seen = root, 0, 0, False
     size = len(html)
     while at < size:
         m = MARKUP.search(html, at)
@@ -140,8 +153,13 @@ def parse(html: str) -> Node:
                 while node is not found:
                     node = node.parent
                 node = found.parent
-        new = Node(name, node, _names_a_part(name, m["rest"], article > 0))
+        new = Node(name, node, _names_a_part(name, m["rest"] if by_names else "", article > 0))
         node.children.append(new)
+        if name in ("article", "main") and not new.cut and not seen:
+            seen, up = True, node
+            while up is not None:
+                up.cut = up.cut and up.name in CUT
+                up = up.parent
         if name in VOID or m["rest"].endswith("/") and name not in BLOCK and name not in RAW and name != "a":
             continue
         if name in RAW:
@@ -248,7 +266,9 @@ def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    return "\n".join(blocks(main_node(parse(html))))
+    text = "\n".join(blocks(main_node(parse(html))))
+    # Words can name what wraps the whole page; then they say nothing.
+    return text or "\n".join(blocks(main_node(parse(html, False))))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
