@@ -193,6 +193,21 @@ def test_quotations(spark):
     assert quotations.link(spark, df.limit(0)).count() == 0
 
 
+def test_quotations_are_their_sql(spark):
+    import duckdb
+    import pandas as pd
+    from oracle import differences
+
+    from traceloom.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    talk = pd.DataFrame(TALK, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int32"})
+    con.register("talk", talk)
+    con.execute("CREATE TABLE conversations AS SELECT conv_id, CAST(turn AS INT) AS turn, role, text FROM talk")
+    df = spark.createDataFrame(TALK, "conv_id string, turn int, role string, text string").repartition(3)
+    assert differences(quotations.link(spark, df), con, ORACLE_SQL["op2_quotation_linking"]) is None
+
+
 def test_long_threads_find_their_root(spark):
     rows = [("c", 0, "u", "message number 0")] + [("c", k, "u", f"> message number {k - 1}\nmessage number {k}") for k in range(1, 40)]
     out = quotations.link(spark, spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()
