@@ -319,7 +319,6 @@ def run(traces: DataFrame, recipe: Recipe, path: str, sfreq: float, n_samples: i
     With resume, recordings that this recipe has already written are left out, by
     an anti join to the manifest of done ones.
     """
-    spark = traces.sparkSession
     own = traces
     if resume:
         done = status(traces, recipe, path).where("state = 'done'").select("recording")
