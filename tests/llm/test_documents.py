@@ -182,8 +182,6 @@ def test_packing_nothing(spark, empty):
 
 def brute_measures(text):
     text = text or ""
-    for c in "\t\n\x0b\x0c\r":
-        pass
     flat = text.translate({ord(c): " " for c in "\t\n\x0b\x0c\r"})
     w = [x for x in flat.split(" ") if x]
     lines, seen, dup = [x for x in text.split("\n")], [], 0
