@@ -24,12 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the certified cutoffs reject."""
-    docs = docs.select(*COLUMNS)
-    measured = cut(spark, quality_rules.measure(docs, keep=("lang",)), "measures")
+    # The verdict belongs to the row, not to its id: the measures are written beside the text, and
+    # the calibration reads their columns only.
+    measured = cut(spark, quality_rules.measure(docs.select(*COLUMNS), keep=("lang", "source", "n_chars"), keep_text=True), "measures")
     cutoffs = quality_rules.calibrate(measured, table(spark, sf_dir, "labels"))
-    # The verdict belongs to the row, so rows that share an id are told apart: measure again, beside the text.
-    beside = quality_rules.measure(docs.withColumn("doc_row", F.struct(*COLUMNS)), keep=("lang", "doc_row"))
-    return quality_rules.judge(beside, cutoffs).where("kept").select("doc_row.*")
+    return quality_rules.judge(measured, cutoffs).where("kept").withColumnRenamed("id", "doc_id").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,16 +88,17 @@ def measure_text(text: str | None) -> tuple[int, ...]:
     )
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, the measures) of every row, from its whole text."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """(id, *keep, the text if keep_text, the measures) of every row, from its whole text."""
     source = docs.select(F.col(id_col).alias("id"), *(F.col(c) for c in keep), F.col(text_col).cast("string").alias("text"))
-    schema = source.drop("text").select("*", *(F.lit(0).cast("bigint").alias(c) for c in MEASURES)).schema
+    schema = (source if keep_text else source.drop("text")).select("*", *(F.lit(0).cast("bigint").alias(c) for c in MEASURES)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [measure_text(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             cols = list(zip(*rows)) if rows else [()] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in cols)], names=schema.names)
+            own = batch.columns if keep_text else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, pa.int64()) for c in cols)], names=schema.names)
 
     return map_arrow(source, run, schema)
 
