@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import decontaminate, packing, quality_rules, simhash_dedup, toxicity
+from traceloom.llm import decontaminate, near_copies, packing, quality_rules, toxicity
 from traceloom.llm.shared import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,18 +31,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.judge(measured, cutoffs).where("kept").withColumnRenamed("id", "doc_id").select(*COLUMNS)
 
 
+def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with row, a key of each row that is written beside it."""
+    return cut(spark, docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "keyed")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id, any one row of it."""
-    docs = docs.select(*COLUMNS)
-    groups = simhash_dedup.near_duplicates(spark, docs)
-    # Rows that share the smallest id are copies of one document; documents without an id all stay.
-    kept = groups.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    one = named.groupBy("doc_id").agg(F.min_by(F.struct("text", "lang", "source", "n_chars"), F.xxhash64("text", "lang", "source", "n_chars")).alias("row"))
-    several = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    single = named.join(several, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = one.join(several, "doc_id", "left_semi").select("doc_id", "row.*").select(*COLUMNS)
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies: of the smallest id, that of least hash; and one without an id, if there are such."""
+    docs = keyed(spark, docs)
+    groups = near_copies.groups(spark, docs)
+    place = docs.select("row", "doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("hash")).join(groups, "row")
+    first = place.groupBy("component", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "hash", "row")).alias("one"))
+    return docs.join(first.select("one.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
