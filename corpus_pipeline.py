@@ -46,10 +46,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    docs = docs.select(*COLUMNS)
-    found = decontaminate.contaminated(spark, docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """Documents that hold no benchmark item, each row judged by its own text."""
+    docs = keyed(spark, docs)
+    found = decontaminate.contaminated(spark, docs, table(spark, sf_dir, "benchmark"), id_col="row").select(F.col("id").alias("row")).distinct()
+    return docs.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

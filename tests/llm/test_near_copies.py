@@ -69,3 +69,20 @@ def test_stage_on_the_smallest_table(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
     want = {rows[k][0] for k in set(brute_groups([t for _, t in rows]))}
     assert {r["doc_id"] for r in pipeline.drop_near_copies(spark, docs, SMALL).collect()} == want
+
+
+def test_stages_judge_rows_and_not_ids(spark):
+    import corpus_pipeline as pipeline
+    from conftest import SMALL
+
+    leak = max((r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()), key=len)
+    rng = random.Random(9)
+    clean = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"]) + str(rng.random())[2:] for _ in range(60)) for _ in range(2)]
+    rows = [(None, leak), (1, leak), (1, clean[0]), (2, clean[1]), (None, clean[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    got = pipeline.drop_contaminated(spark, docs, SMALL).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, [(1, clean[0]), (2, clean[1]), (None, clean[1])]))
+    rows = [(1, clean[0]), (1, clean[1]), (None, clean[1]), (None, clean[1]), (None, leak), (2, clean[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    got = pipeline.drop_near_copies(spark, docs, SMALL).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, [(1, clean[0]), (1, clean[1]), (None, clean[1]), (None, leak)]))
