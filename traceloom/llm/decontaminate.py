@@ -5,14 +5,19 @@ with other parameters keeps its template. Windows of template tokens of the
 documents are hash-joined to those of the benchmark; for each alignment of a
 document with an item the slots must be consistent: equal values of the item
 stand for equal values of the document. A pair is reported if its consistent
-windows cover enough of the item.
+windows cover enough of the item. Windows whose slots hold the item's own values
+are evidence whatever the alignment's other windows say.
+
+Short items, and windows of few plain words, are matched by their tokens with
+all values instead. One of under `least_words` tokens and SHORT_BYTES bytes says
+too little inside a text: it matches only a document that has no other token.
 
 A bitmap of the benchmark's window hashes, of bounded size, tells the scan which
 windows can match; only these leave it.
 
 Defined results: null or empty texts match nothing; rows that repeat are reported
 each, as are items that repeat; a null id is kept; an item shorter than a window
-is one window, and one with fewer than `least_words` words matches nothing.
+is one window.
 """
 
 from __future__ import annotations
@@ -40,6 +45,10 @@ UNITS = frozenset(
     "semaine semaines an ans hora horas dia dias semana semanas mes meses".split()
 )
 WORD, NAME, NUMBER, UNIT, END = range(5)
+#: Bytes of a short item's tokens from which on it is looked for within documents.
+SHORT_BYTES = 20
+#: Tells hashes of tokens with their values from those of templates.
+RAW = np.uint64(0x5851F42D4C957F2D)
 #: Bits of the bitmap at most (8 MB).
 MAX_BITS = 1 << 26
 
@@ -129,11 +138,13 @@ def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
 _WINDOWS = "key bigint, id {id}, pos int, hash bigint, slots array<string>, n_tokens int, width int"
 
 
-def windows(rows: DataFrame, id_col: str, text_col: str, widths: tuple[int, ...] | None, bitmap: np.ndarray | None, width: int, least_words: int) -> DataFrame:
+def windows(rows: DataFrame, id_col: str, text_col: str, widths: tuple[tuple[int, bool], ...] | None, bitmap: np.ndarray | None, width: int, least_words: int) -> DataFrame:
     """Template windows: (key, id, pos, hash, slots, n_tokens, width).
 
-    Of an item (widths is None) all windows, or the whole item if it is shorter.
-    Of a document, the windows of each of the widths whose hash is in the bitmap.
+    Of an item (widths is None) all windows, or the whole item if it is shorter;
+    those that a template cannot tell are raw: hash and slots are of all tokens,
+    and each slot starts with "=". Of a document, the windows of each of the
+    widths, raw or not, whose hash is in the bitmap.
     key tells rows apart: the task and the place in its input.
     """
     source = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -153,11 +164,16 @@ def windows(rows: DataFrame, id_col: str, text_col: str, widths: tuple[int, ...]
                 words = np.r_[0, np.cumsum(kinds == WORD)]
                 at: list[int] = []
                 cols: list[list] = [[] for _ in range(6)]
-                for w in widths if widths is not None else sorted({min(width, n) for n in sizes.tolist() if n >= least_words}):
-                    h = window_hashes(tokens, w)
+                for w, raw in widths if widths is not None else sorted({(min(width, n), raw) for n in sizes.tolist() if n for raw in (False, True)}):
+                    h = window_hashes(canonical.hashes[own] ^ RAW if raw else tokens, w)
                     place = np.arange(len(h))
+                    ok = doc[: len(h)] == doc[w - 1 :][: len(h)]
                     # Placeholders alone say nothing.
-                    ok = (doc[: len(h)] == doc[w - 1 :][: len(h)]) & (words[w:][: len(h)] - words[: len(h)] >= min(3, w))
+                    told = (words[w:][: len(h)] - words[: len(h)] >= min(3, w)) & (w >= least_words)
+                    if not raw:
+                        ok &= told
+                    elif widths is None:
+                        ok &= ~told
                     if widths is None:
                         ok &= np.minimum(width, sizes[doc[: len(h)]]) == w
                     if bitmap is not None:
@@ -165,7 +181,12 @@ def windows(rows: DataFrame, id_col: str, text_col: str, widths: tuple[int, ...]
                         ok &= ((bitmap[a >> np.uint64(6)] >> (a & np.uint64(63))) & (bitmap[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
                     for p in place[ok].tolist():
                         d = int(doc[p])
-                        values = [f"{kind}:{canonical.names[own[p + j]]}" for j, kind in enumerate(kinds[p : p + w].tolist()) if kind != WORD]
+                        if raw:
+                            values = [f"={canonical.names[k]}" for k in own[p : p + w].tolist()]
+                            if w < least_words and sizes[d] != w and sum(len(v.encode("utf-8", "surrogatepass")) - 1 for v in values) < SHORT_BYTES:
+                                continue
+                        else:
+                            values = [f"{kind}:{canonical.names[own[p + j]]}" for j, kind in enumerate(kinds[p : p + w].tolist()) if kind != WORD]
                         at.append(lo + d)
                         for c, v in zip(cols, (row + lo + d, p - int(starts[d]), int(h[p]), values, int(sizes[d]), w)):
                             c.append(v)
@@ -204,35 +225,40 @@ def contaminated(
 ) -> DataFrame:
     """(key, id, item_id, coverage, covered_tokens, kind) of the pairs reported.
 
-    kind is "exact" if every slot of the pair's windows holds the item's value,
-    else "reparameterised". A pair is reported if consistent windows cover the
-    share `coverage` of the item's tokens, or `enough` tokens; where slots differ,
-    which says less, the share must be `template_coverage`.
+    kind is "exact" if every slot of an alignment's windows holds the item's value,
+    or the windows whose slots do cover enough by themselves; else it is
+    "reparameterised". A pair is reported if consistent windows cover the share
+    `coverage` of the item's tokens, or `enough` tokens; where slots differ, which
+    says less, the share must be `template_coverage`.
     """
     items = cut(spark, windows(benchmark, item_col, "text", None, None, width, least_words), "item-windows")
     # An item's repeated windows count once; its rows are few beside the documents'.
     items = items.groupBy("key", "id", "hash", "n_tokens", "width").agg(F.min(F.struct("pos", "slots")).alias("first"))
     items = items.select(F.col("key").alias("item_key"), F.col("id").alias("item_id"), "hash", "width", F.col("first.pos").alias("item_pos"), F.col("first.slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens"))
-    sizes = items.groupBy("width").agg(F.count("*").alias("n")).collect()
+    raw = F.coalesce(F.get("item_slots", F.lit(0)).startswith("="), F.lit(False))
+    sizes = items.groupBy("width", raw.alias("raw")).agg(F.count("*").alias("n")).collect()
     if not sizes:
-        widths, bitmap = (width,), np.zeros(1, dtype=np.uint64)
+        widths, bitmap = ((width, False),), np.zeros(1, dtype=np.uint64)
     else:
-        widths = tuple(sorted(r["width"] for r in sizes))
+        widths = tuple(sorted((r["width"], r["raw"]) for r in sizes))
         bitmap = hash_bitmap(items, sum(r["n"] for r in sizes))
     found = windows(docs, id_col, text_col, widths, bitmap, width, least_words)
-    pairs = found.join(items, ["hash", "width"]).where(F.size("slots") == F.size("item_slots"))
+    held = F.col("slots") == F.col("item_slots")
+    pairs = found.join(items, ["hash", "width"]).where((F.size("slots") == F.size("item_slots")) & (held | ~raw))
     slots = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("own"))
+    spot = F.struct("item_pos", "width")
     aligned = pairs.groupBy("key", "id", "item_key", "item_id", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.collect_set(F.struct("item_pos", "width")).alias("spots"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
+        F.collect_set(spot).alias("spots"), F.collect_set(F.when(held, spot)).alias("held"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
     )
-    values = F.transform("slots", lambda s: s["item"])
-    aligned = aligned.where(F.size("slots") == F.size(F.array_distinct(values)))
-    same = F.forall("slots", lambda s: s["item"] == s["own"])
+    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
+    aligned = aligned.where(consistent | (F.size("held") > 0))
+    same = consistent & F.forall("slots", lambda s: s["item"] == s["own"])
+    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     whole = aligned.groupBy("key", "id", "item_key", "item_id", "item_tokens").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("spots"), F.bool_or(same).alias("exact")
+        joined(F.when(consistent, F.col("spots")).otherwise(F.col("held"))).alias("spots"), joined("held").alias("held"), F.bool_or(same).alias("exact")
     )
-    covered = F.aggregate(
-        "spots",
+    covered = lambda spots: F.aggregate(
+        spots,
         F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")),
         lambda acc, s: F.struct(
             F.greatest(acc["upto"], s["item_pos"] + s["width"]).alias("upto"),
@@ -240,8 +266,9 @@ def contaminated(
         ),
         lambda acc: acc["n"],
     )
-    out = whole.select("key", "id", "item_id", covered.alias("covered_tokens"), "item_tokens", F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"))
+    whole = whole.withColumns({"covered_tokens": covered("spots"), "held_tokens": covered("held")})
+    sufficient = lambda n: (F.col(n) / F.col("item_tokens") >= coverage) | (F.col(n) >= enough)
+    out = whole.withColumn("exact", F.col("exact") | sufficient("held_tokens"))
+    out = out.select("key", "id", "item_id", "covered_tokens", "item_tokens", F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"))
     out = out.withColumn("coverage", F.col("covered_tokens") / F.col("item_tokens"))
-    exact = F.col("kind") == "exact"
-    enough_exact = exact & ((F.col("coverage") >= coverage) | (F.col("covered_tokens") >= enough))
-    return out.where(enough_exact | (F.col("coverage") >= template_coverage)).drop("item_tokens")
+    return out.where((F.col("kind") == "exact") & sufficient("covered_tokens") | (F.col("coverage") >= template_coverage)).drop("item_tokens")
