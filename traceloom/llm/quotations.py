@@ -60,6 +60,11 @@ def passages(lines: Column) -> Column:
     return F.filter(runs, lambda r: r["level"] > 0)
 
 
+def unattributed(lines: Column) -> Column:
+    """Lines without the quoted attributions that a quotation one level deeper follows."""
+    return F.filter(lines, lambda x, i: ~((x["level"] > 0) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) == x["level"] + 1) & x["line"].rlike(ATTRIBUTION)))
+
+
 def own_text(lines: Column) -> Column:
     """Lines of level 0 but for attributions that a quotation follows."""
     kept = F.filter(
@@ -80,8 +85,9 @@ def parse(messages: DataFrame) -> DataFrame:
     quoted = F.col("text").rlike("(?m)" + MARKS)
     lines = parsed_lines(F.col("text"))
     parsed = parsed.withColumn("lines", F.when(quoted, lines))
+    parsed = parsed.withColumn("quoted", unattributed(F.col("lines")))
     keys = F.filter(
-        F.transform(passages(F.col("lines")), lambda p: F.struct(p["level"].alias("level"), normalised(p["text"]).alias("text"))),
+        F.transform(passages(F.col("quoted")), lambda p: F.struct(p["level"].alias("level"), normalised(p["text"]).alias("text"))),
         lambda p: p["text"] != "",
     )
     quotes = F.transform(keys, lambda p: F.struct(p["level"].alias("level"), _hash(p["text"]).alias("key")))
