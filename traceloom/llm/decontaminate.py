@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units are replaced by typed placeholders, so that a question
-with other parameters keeps its template. Windows of template tokens of the
+Numbers, names and units are replaced by typed placeholders, a run of names by
+one, so that a question with other parameters keeps its template. Windows of template tokens of the
 documents are hash-joined to those of the benchmark; for each alignment of a
 document with an item the slots must be consistent: equal values of the item
 stand for equal values of the document. A pair is reported if its consistent
@@ -9,15 +9,19 @@ windows cover enough of the item. Windows whose slots hold the item's own values
 are evidence whatever the alignment's other windows say.
 
 Short items, and windows of few plain words, are matched by their tokens with
-all values instead. One of under `least_words` tokens and SHORT_BYTES bytes says
-too little inside a text: it matches only a document that has no other token.
+all values instead. One of under `least_words` tokens says too little inside a text
+if it has under SHORT_BYTES bytes, or SHORT_WORDS_BYTES in three words or more: it
+then matches only a document that has no other token.
 
 A bitmap of the benchmark's window hashes, of bounded size, tells the scan which
 windows can match; only these leave it.
 
+Items of one text are looked for once and named at the end.
+
 Defined results: null or empty texts match nothing; rows that repeat are reported
 each, as are items that repeat; a null id is kept; an item shorter than a window
-is one window.
+is one window; a window that many items share counts for each of them; very long
+texts are read in whole, in chunks of whole texts.
 """
 
 from __future__ import annotations
@@ -45,8 +49,8 @@ UNITS = frozenset(
     "semaine semaines an ans hora horas dia dias semana semanas mes meses".split()
 )
 WORD, NAME, NUMBER, UNIT, END = range(5)
-#: Bytes of a short item's tokens from which on it is looked for within documents.
-SHORT_BYTES = 20
+#: Bytes of a short item's tokens from which on it is looked for within documents: of any, and of three tokens or more.
+SHORT_BYTES, SHORT_WORDS_BYTES = 20, 12
 #: Tells hashes of tokens with their values from those of templates.
 RAW = np.uint64(0x5851F42D4C957F2D)
 #: Bits of the bitmap at most (8 MB).
@@ -135,17 +139,32 @@ def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-_WINDOWS = "key bigint, id {id}, pos int, hash bigint, slots array<string>, n_tokens int, width int"
+_WINDOWS = "key bigint, id {id}, pos int, hash bigint, slots array<string>, n_tokens int, width int, at int, span int"
+
+
+def merged_names(kinds: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens of a template start and end: a run of names of one text is one of them."""
+    again = np.zeros(len(kinds), dtype=bool)
+    again[1:] = (kinds[1:] == NAME) & (kinds[:-1] == NAME) & (doc[1:] == doc[:-1])
+    first = np.flatnonzero(~again)
+    return first, np.r_[first[1:], len(kinds)] if len(kinds) else first
+
+
+def too_short(values: list[str]) -> bool:
+    """Whether a short item says too little to be looked for within a text."""
+    size = sum(len(v.encode("utf-8", "surrogatepass")) for v in values)
+    return size < (SHORT_WORDS_BYTES if len(values) > 2 else SHORT_BYTES)
 
 
 def windows(rows: DataFrame, id_col: str, text_col: str, widths: tuple[tuple[int, bool], ...] | None, bitmap: np.ndarray | None, width: int, least_words: int) -> DataFrame:
-    """Template windows: (key, id, pos, hash, slots, n_tokens, width).
+    """Windows of template tokens, and raw ones of all tokens: (key, id, pos, hash, slots, n_tokens, width, at, span).
 
     Of an item (widths is None) all windows, or the whole item if it is shorter;
     those that a template cannot tell are raw: hash and slots are of all tokens,
     and each slot starts with "=". Of a document, the windows of each of the
     widths, raw or not, whose hash is in the bitmap.
-    key tells rows apart: the task and the place in its input.
+    key tells rows apart: the task and the place in its input. pos and width count
+    the window's own tokens, at and span all tokens, as n_tokens does.
     """
     source = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = _WINDOWS.format(id=dict(source.dtypes)["id"])
@@ -158,46 +177,59 @@ def windows(rows: DataFrame, id_col: str, text_col: str, widths: tuple[tuple[int
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in chunks(texts):
                 tokens, kinds, own, doc = canonical(texts[lo:hi])
+                first, last = merged_names(kinds, doc)
                 sizes = np.bincount(doc, minlength=hi - lo)
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
-                words = np.r_[0, np.cumsum(kinds == WORD)]
+                parts = np.bincount(doc[first], minlength=hi - lo)
+                starts = np.cumsum(sizes) - sizes
+                # By stream, templates and raw: hashes, kinds, texts, sizes, and where tokens lie among all.
+                every = np.arange(len(doc))
+                streams = {
+                    False: (tokens[first], kinds[first], doc[first], parts, first, last),
+                    True: (canonical.hashes[own] ^ RAW, kinds, doc, sizes, every, every + 1),
+                }
                 at: list[int] = []
-                cols: list[list] = [[] for _ in range(6)]
-                for w, raw in widths if widths is not None else sorted({(min(width, n), raw) for n in sizes.tolist() if n for raw in (False, True)}):
-                    h = window_hashes(canonical.hashes[own] ^ RAW if raw else tokens, w)
+                cols: list[list] = [[] for _ in range(8)]
+                all_widths = {(min(width, n), raw) for raw, of in ((False, parts), (True, sizes)) for n in of.tolist() if n}
+                for w, raw in widths if widths is not None else sorted(all_widths):
+                    hashes, kind, text, n, begin, end = streams[raw]
+                    begins = np.cumsum(n) - n
+                    words = np.r_[0, np.cumsum(kind == WORD)]
+                    h = window_hashes(hashes, w)
                     place = np.arange(len(h))
-                    ok = doc[: len(h)] == doc[w - 1 :][: len(h)]
+                    ok = text[: len(h)] == text[w - 1 :][: len(h)]
                     # Placeholders alone say nothing.
-                    told = (words[w:][: len(h)] - words[: len(h)] >= min(3, w)) & (w >= least_words)
+                    told = words[w:][: len(h)] - words[: len(h)] >= min(3, w)
                     if not raw:
-                        ok &= told
+                        ok &= told & (w >= least_words)
                     elif widths is None:
-                        ok &= ~told
+                        ok &= ~(told & (np.minimum(width, parts[text[: len(h)]]) >= least_words))
                     if widths is None:
-                        ok &= np.minimum(width, sizes[doc[: len(h)]]) == w
+                        ok &= np.minimum(width, n[text[: len(h)]]) == w
                     if bitmap is not None:
                         a, b = h % np.uint64(bits), (h >> np.uint64(17)) % np.uint64(bits)
                         ok &= ((bitmap[a >> np.uint64(6)] >> (a & np.uint64(63))) & (bitmap[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
                     for p in place[ok].tolist():
-                        d = int(doc[p])
+                        d, lead, stop = int(text[p]), int(begin[p]), int(end[p + w - 1])
                         if raw:
-                            values = [f"={canonical.names[k]}" for k in own[p : p + w].tolist()]
-                            if w < least_words and sizes[d] != w and sum(len(v.encode("utf-8", "surrogatepass")) - 1 for v in values) < SHORT_BYTES:
+                            values = [canonical.names[k] for k in own[lead:stop].tolist()]
+                            if w < least_words and sizes[d] != w and too_short(values):
                                 continue
+                            values = [f"={v}" for v in values]
                         else:
-                            values = [f"{kind}:{canonical.names[own[p + j]]}" for j, kind in enumerate(kinds[p : p + w].tolist()) if kind != WORD]
+                            values = [
+                                f"{kind[j]}:{' '.join(canonical.names[k] for k in own[begin[j] : end[j]].tolist())}" for j in range(p, p + w) if kind[j] != WORD
+                            ]
                         at.append(lo + d)
-                        for c, v in zip(cols, (row + lo + d, p - int(starts[d]), int(h[p]), values, int(sizes[d]), w)):
+                        for c, v in zip(cols, (row + lo + d, p - int(begins[d]), int(h[p]), values, int(sizes[d]), w, lead - int(starts[d]), stop - lead)):
                             c.append(v)
                 if at:
+                    numbers = [pa.array(c, pa.int32()) for c in cols[4:]]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(cols[0], pa.int64()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[1], pa.int32()),
-                            pa.array(np.array(cols[2], dtype=np.uint64).view(np.int64)), pa.array(cols[3], pa.list_(pa.string())),
-                            pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32()),
+                            pa.array(np.array(cols[2], dtype=np.uint64).view(np.int64)), pa.array(cols[3], pa.list_(pa.string())), *numbers,
                         ],
-                        names=["key", "id", "pos", "hash", "slots", "n_tokens", "width"],
+                        names=["key", "id", "pos", "hash", "slots", "n_tokens", "width", "at", "span"],
                     )
             row += len(texts)
 
@@ -205,17 +237,19 @@ def windows(rows: DataFrame, id_col: str, text_col: str, widths: tuple[tuple[int
 
 
 def hash_bitmap(index: DataFrame, n: int) -> np.ndarray:
-    """Two bits for each hash in a bitmap of 64 bits a window or MAX_BITS, built by bit_or on the executors."""
+    """Two bits for each hash in a bitmap of 64 bits a window or MAX_BITS, built by bit_or on the executors.
+
+    Its words come to the driver as Arrow columns, of 16 MB at most.
+    """
     bits = 1 << 12
     while bits < min(64 * n, MAX_BITS):
         bits <<= 1
     # Unsigned remainder of a signed bigint by a power of two is its low bits.
     low = F.explode(F.array(F.col("hash"), F.shiftrightunsigned("hash", 17))).alias("h")
     spot = index.select(low).select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("b"))
-    words = spot.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).collect()
+    words = spot.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
     out = np.zeros(bits // 64, dtype=np.int64)
-    for r in words:
-        out[r["w"]] = r["v"]
+    out[words["w"].to_numpy()] = words["v"].to_numpy()
     return out.view(np.uint64)
 
 
@@ -231,10 +265,15 @@ def contaminated(
     `coverage` of the item's tokens, or `enough` tokens; where slots differ, which
     says less, the share must be `template_coverage`.
     """
-    items = cut(spark, windows(benchmark, item_col, "text", None, None, width, least_words), "item-windows")
+    named = benchmark.select(F.col(item_col).alias("item_id"), F.col("text").cast("string").alias("item_text")).where("item_text <> ''")
+    texts = cut(spark, named.select("item_text").distinct().withColumn("item_key", F.monotonically_increasing_id()), "item-texts")
+    items = cut(spark, windows(texts, "item_key", "item_text", None, None, width, least_words), "item-windows")
     # An item's repeated windows count once; its rows are few beside the documents'.
-    items = items.groupBy("key", "id", "hash", "n_tokens", "width").agg(F.min(F.struct("pos", "slots")).alias("first"))
-    items = items.select(F.col("key").alias("item_key"), F.col("id").alias("item_id"), "hash", "width", F.col("first.pos").alias("item_pos"), F.col("first.slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens"))
+    items = items.groupBy(F.col("id").alias("item_key"), "hash", "n_tokens", "width").agg(F.min(F.struct("pos", "slots", "at", "span")).alias("first"))
+    items = items.select(
+        "item_key", "hash", "width", F.col("first.pos").alias("item_pos"), F.col("first.slots").alias("item_slots"), F.col("first.at").alias("item_at"),
+        F.col("first.span").alias("item_span"), F.col("n_tokens").alias("item_tokens"),
+    )
     raw = F.coalesce(F.get("item_slots", F.lit(0)).startswith("="), F.lit(False))
     sizes = items.groupBy("width", raw.alias("raw")).agg(F.count("*").alias("n")).collect()
     if not sizes:
@@ -246,29 +285,31 @@ def contaminated(
     held = F.col("slots") == F.col("item_slots")
     pairs = found.join(items, ["hash", "width"]).where((F.size("slots") == F.size("item_slots")) & (held | ~raw))
     slots = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("own"))
-    spot = F.struct("item_pos", "width")
-    aligned = pairs.groupBy("key", "id", "item_key", "item_id", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    spot = F.struct("item_at", "item_span")
+    aligned = pairs.groupBy("key", "id", "item_key", "item_tokens", raw.alias("raw"), (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set(spot).alias("spots"), F.collect_set(F.when(held, spot)).alias("held"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
     aligned = aligned.where(consistent | (F.size("held") > 0))
     same = consistent & F.forall("slots", lambda s: s["item"] == s["own"])
     joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    whole = aligned.groupBy("key", "id", "item_key", "item_id", "item_tokens").agg(
+    whole = aligned.groupBy("key", "id", "item_key", "item_tokens").agg(
         joined(F.when(consistent, F.col("spots")).otherwise(F.col("held"))).alias("spots"), joined("held").alias("held"), F.bool_or(same).alias("exact")
     )
     covered = lambda spots: F.aggregate(
         spots,
         F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")),
         lambda acc, s: F.struct(
-            F.greatest(acc["upto"], s["item_pos"] + s["width"]).alias("upto"),
-            (acc["n"] + F.greatest(F.lit(0), s["item_pos"] + s["width"] - F.greatest(acc["upto"], s["item_pos"]))).alias("n"),
+            F.greatest(acc["upto"], s["item_at"] + s["item_span"]).alias("upto"),
+            (acc["n"] + F.greatest(F.lit(0), s["item_at"] + s["item_span"] - F.greatest(acc["upto"], s["item_at"]))).alias("n"),
         ),
         lambda acc: acc["n"],
     )
     whole = whole.withColumns({"covered_tokens": covered("spots"), "held_tokens": covered("held")})
     sufficient = lambda n: (F.col(n) / F.col("item_tokens") >= coverage) | (F.col(n) >= enough)
     out = whole.withColumn("exact", F.col("exact") | sufficient("held_tokens"))
-    out = out.select("key", "id", "item_id", "covered_tokens", "item_tokens", F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"))
+    out = out.select("key", "id", "item_key", "covered_tokens", "item_tokens", F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"))
     out = out.withColumn("coverage", F.col("covered_tokens") / F.col("item_tokens"))
-    return out.where((F.col("kind") == "exact") & sufficient("covered_tokens") | (F.col("coverage") >= template_coverage)).drop("item_tokens")
+    out = out.where((F.col("kind") == "exact") & sufficient("covered_tokens") | (F.col("coverage") >= template_coverage))
+    owners = named.join(texts, "item_text").select("item_key", "item_id")
+    return out.join(owners, "item_key").select("key", "id", "item_id", "covered_tokens", "kind", "coverage")
