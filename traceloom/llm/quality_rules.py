@@ -9,13 +9,19 @@ policies are tried from the mildest on and the first that fails ends the search,
 so that no further correction is due (fixed-sequence testing; Angelopoulos et
 al., "Learn then test", 2021).
 
+The sequence runs up to the risk itself. Of the certified policies, all of which
+hold, that is taken which rejects the most bad holdouts beyond the good ones.
+
 All labelled rows are used, as counts in bins: what reaches the driver is bounded
 by strata x rules x bins. A stratum is one of the `strata` column's values with
-at least `least` good holdouts; all others are pooled.
+at least `least` good labelled rows, as many as there are; all others are pooled,
+and their bound holds for the pool. The bounds speak of texts that pass the base
+rules; those say nothing of labels. Cutoffs are joined as a table, a row for each
+stratum, so that plans do not grow with strata.
 
 Defined results: a null text has no words and fails the base rules; a null
 stratum is pooled; rows that repeat are judged each; without labels only the base
-rules reject.
+rules reject; an empty table gives no row; very long texts are measured whole.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -111,7 +117,7 @@ def upper_bound(failures: int, n: int, error: float) -> float:
     logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(failures + 1)]
     for _ in range(60):
         p = (lo + hi) / 2
-        tail = sum(math.exp(c + k * math.log(p) + (n - k) * math.log1p(-p)) for k, c in enumerate(logs)) if 0 < p < 1 else float(p <= 0)
+        tail = math.fsum(math.exp(c + k * math.log(p) + (n - k) * math.log1p(-p)) for k, c in enumerate(logs)) if 0 < p < 1 else float(p <= 0)
         lo, hi = (p, hi) if tail > error else (lo, p)
     return hi
 
@@ -149,15 +155,31 @@ def _bin(rule: str) -> Column:
     return F.least(F.greatest(F.floor(value * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
 
 
+def _with_cuts(rows: DataFrame, strata: str, name: str, own: Collection[str], cuts: dict[str, list[list[int]]], empty: list[list[int]]) -> DataFrame:
+    """rows with the column `name`: their stratum's cutoffs, those of the pooled one where it has none of its own."""
+    names = list(RULES)
+    if any(len(level) != len(names) for levels in cuts.values() for level in levels):
+        raise ValueError("a cutoff for each rule is needed")
+    table = rows.sparkSession.createDataFrame([(s, cuts.get(s, empty)) for s in sorted(own)], f"`{name}_of` string, `{name}` array<array<int>>")
+    stratum = F.coalesce(F.col(strata).cast("string"), F.lit(""))
+    pooled = F.array(*(F.array(*(F.lit(c) for c in level)) for level in cuts.get("", empty)))
+    found = rows.join(table, stratum == F.col(f"{name}_of"), "left") if own else rows.withColumn(name, F.lit(None).cast("array<array<int>>"))
+    return found.withColumn(name, F.coalesce(name, pooled)).drop(f"{name}_of")
+
+
+#: The cutoff of a rule that rejects nothing.
+NEVER = BINS
+
+
 def calibrate(
     measured: DataFrame, labels: DataFrame, strata: str = "lang", risk: float = 0.05, error: float = 0.05,
-    shares: tuple[float, ...] = (0.0, 0.0005, 0.001, 0.002), least: int = 150, max_strata: int = 50,
+    shares: tuple[float, ...] = (0.0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05), least: int = 150,
 ) -> Cutoffs:
     """Cutoffs from all labelled rows of measured (columns id, strata, measures).
 
     One half of them, by a hash of the id, proposes ever more severe policies, each
-    a cutoff for every rule; the other half certifies them. A stratum of its own
-    needs `least` good rows; at most max_strata of them, the largest, have one.
+    a cutoff for every rule, by `shares` of good texts that a rule may reject; the
+    other half certifies them. A stratum of its own needs `least` good rows.
     """
     truth = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.avg("quality").alias("q"))
     truth = truth.select(F.col("doc_id").alias("id"), (F.col("q") >= 0.5).alias("good"))
@@ -165,8 +187,9 @@ def calibrate(
     half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
     held = held.select(F.coalesce(F.col(strata).cast("string"), F.lit("")).alias("stratum"), half.alias("proposes"), "good", *(_bin(r).alias(r) for r in RULES))
     counts = held.where("good").groupBy("stratum").agg(F.count("*").alias("n"))
-    own = [r["stratum"] for r in counts.where((F.col("n") >= least) & (F.col("stratum") != "")).orderBy(F.desc("n"), "stratum").limit(max_strata).collect()]
-    pooled = held.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise("") if own else F.lit(""))
+    own = {r["stratum"] for r in counts.where((F.col("n") >= least) & (F.col("stratum") != "")).collect()}
+    names = held.sparkSession.createDataFrame([(s,) for s in sorted(own)], "own string")
+    pooled = held.join(names, F.col("stratum") == F.col("own"), "left").withColumn("stratum", F.coalesce("own", F.lit(""))).drop("own")
     pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES)))
     bins = pooled.where("proposes").select("stratum", "good", pairs.alias("x")).groupBy("stratum", "x.rule", "x.bin")
     table: dict[tuple[str, str], tuple[list[int], list[int]]] = {}
@@ -175,25 +198,29 @@ def calibrate(
         good[r["bin"]] += r["good"]
         bad[r["bin"]] += r["bad"]
     levels = [{k: c for k, (g, b) in sorted(table.items()) if (c := propose(g, b, share)) is not None} for share in shares]
+    names = sorted({s for s, _ in table})
+    cuts = {s: [[level.get((s, rule), NEVER) for rule in RULES] for level in levels] for s in names}
     # The mildest policy by number that rejects a row.
-    rejected: Column = F.lit(len(levels))
-    for k in range(len(levels) - 1, -1, -1):
-        for (s, rule), c in levels[k].items():
-            rejected = F.when((F.col("stratum") == s) & (F.col(rule) >= c), F.lit(k)).otherwise(rejected)
-    tested = pooled.where("not proposes").select("stratum", "good", rejected.alias("level")).groupBy("stratum", "good", "level").count().collect()
+    cut_rows = _with_cuts(pooled, "stratum", "_cuts", [s for s in names if s], cuts, [[NEVER] * len(RULES) for _ in levels])
+    broken = lambda level: F.exists(F.zip_with(level, F.array(*RULES), lambda c, b: b >= c), lambda x: x)
+    first = F.array_position(F.transform("_cuts", broken), True)
+    rejected = F.when(first > 0, first - 1).otherwise(len(levels)).cast("int")
+    tested = cut_rows.where("not proposes").select("stratum", "good", rejected.alias("level")).groupBy("stratum", "good", "level").count().collect()
+    seen: dict[str, Counter] = {}
+    for r in tested:
+        seen.setdefault(r["stratum"], Counter())[r["good"], r["level"]] += r["count"]
     chosen: dict[tuple[str, str], int] = {}
     bounds: dict[str, float] = {}
-    names = sorted({s for s, _ in table})
     for s in names:
-        n = sum(r["count"] for r in tested if r["stratum"] == s and r["good"])
-        gained = -1
+        n = sum(c for (good, _), c in seen.get(s, Counter()).items() if good)
+        gained, lost, won = 0, 0, 0
         for k, level in enumerate(levels):
-            lost, won = (sum(r["count"] for r in tested if r["stratum"] == s and r["good"] is g and r["level"] <= k) for g in (True, False))
+            lost, won = lost + seen[s][True, k] if n else 0, won + seen[s][False, k] if n else 0
             bound = upper_bound(lost, n, error / len(names))
             if n == 0 or bound > risk:
                 break
-            if won > max(gained, 0) * 1.01:
-                gained, bounds[s] = won, bound
+            if won - lost > gained:
+                gained, bounds[s] = won - lost, bound
                 chosen = {key: c for key, c in chosen.items() if key[0] != s} | {key: c for key, c in level.items() if key[0] == s}
     return Cutoffs(tuple(sorted(own)), chosen, bounds)
 
@@ -204,14 +231,11 @@ def _base_failed() -> Column:
 
 def judge(measured: DataFrame, cutoffs: Cutoffs, strata: str = "lang") -> DataFrame:
     """measured with base_failed, rule (one that rejects, else null) and kept."""
-    stratum = F.coalesce(F.col(strata).cast("string"), F.lit(""))
-    stratum = F.when(stratum.isin(list(cutoffs.strata)), stratum).otherwise("") if cutoffs.strata else F.lit("")
-    rule: Column = F.lit(None).cast("string")
-    for (s, name), b in sorted(cutoffs.bins.items(), reverse=True):
-        rule = F.when((stratum == s) & (_bin(name) >= b), F.lit(name)).otherwise(rule)
-    return measured.withColumn("base_failed", _base_failed()).withColumn("rule", F.when(~F.col("base_failed"), rule)).withColumn(
-        "kept", ~F.col("base_failed") & F.col("rule").isNull()
-    )
+    cuts = {s: [[cutoffs.bins.get((s, rule), NEVER) for rule in RULES]] for s in ("", *cutoffs.strata)}
+    rows = _with_cuts(measured, strata, "_cuts", cutoffs.strata, cuts, [[NEVER] * len(RULES)])
+    rule = F.coalesce(*(F.when(_bin(name) >= F.get(F.get("_cuts", F.lit(0)), F.lit(k)), F.lit(name)) for k, name in sorted(enumerate(RULES), key=lambda x: x[1])))
+    out = rows.withColumn("base_failed", _base_failed()).withColumn("rule", F.when(~F.col("base_failed"), rule))
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop("_cuts")
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", strata: str = "lang") -> DataFrame:
