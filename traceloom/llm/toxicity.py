@@ -8,12 +8,17 @@ gives each training text a posterior label. A linear classifier on word and stem
 features, trained on the posteriors, scores every text (Ratner et al., "Data
 programming", NeurIPS 2016).
 
-Fitting reads at most MAX_LABELLED labelled rows, chosen by a hash of their id;
-scoring reads every whole text.
+Fitting reads at most MAX_LABELLED labelled rows, chosen by a hash of their id and
+text; scoring reads every whole text. The features of the rows fitted are counted
+on the executors; the driver gets the counts of the best of them and, of a row, a
+bit for each column of the classifier.
+
+What is known of the word lists before any label is part of every fit, as PRIOR
+rows made of them: with few labels they decide, with many they count for little.
 
 Defined results: a null or empty text gets the score of a text without any
 feature; rows that repeat get a score each; a null id is scored as any other and
-its row counts as not held out; without usable labels the word lists decide.
+its row counts as not held out; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -29,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm.shared import map_arrow
+from traceloom.llm.shared import cut, map_arrow
 
 #: Labelled rows that fitting reads at most.
 MAX_LABELLED = 8000
 #: Columns of the linear classifier at most.
 MAX_FEATURES = 512
+#: Rows of each word list, and clean ones, that every fit begins with; not of lists whose words are other languages' plain words ("die").
+PRIOR, PRIOR_CLEAN, AMBIGUOUS = 12, 240, ("hate",)
 #: Lengths of the stems of a word that are features.
 STEMS = (4, 5, 6, 7, 8)
 SPACE = 1 << 20
@@ -153,8 +160,20 @@ def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.3, rounds: int = 3
     return float(w[0]), w[1:]
 
 
-def _default_model() -> Model:
-    return Model(-4.0, lists=[(frozenset(words.split()), 3.0, 2.5) for name, words in LEXICONS.items() if name != "hate"])
+def _lexical(text: str, counts: Counter, lists: list[frozenset]) -> list[int]:
+    """How often words of each list occur, up to 2, and whether the text addresses someone, is loud, or exclaims."""
+    letters = sum(counts.values())
+    loud = sum(map(str.isupper, text)) > 0.6 * max(1, sum(len(w) * n for w, n in counts.items()))
+    marks = text.count("!") > 0.2 * max(1, letters)
+    return [min(2, sum(counts[w] for w in words if w in counts)) for words in lists] + [int(bool(SECOND_PERSON.search(text.lower()))), int(loud), int(marks)]
+
+
+def _features(counts: Counter) -> Counter:
+    seen: Counter = Counter()
+    for token, n in counts.items():
+        for f in token_features(token):
+            seen[f] += n
+    return seen
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
@@ -163,84 +182,85 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
     sample = (
         usable.groupBy("doc_id")
         .agg(F.avg("toxic").alias("share"))
-        .select("doc_id", (F.col("share") >= 0.5).cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .select(F.col("doc_id").alias("id"), (F.col("share") >= 0.5).cast("int").alias("toxic"))
+        .orderBy(F.xxhash64("id"), "id")
         .limit(max_labelled)
     )
     # At most max_labelled rows of two numbers: a proven bound.
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "id")
+    # Where ids repeat, the bound holds for rows.
+    rows = cut(spark, rows.withColumn("hash", F.xxhash64("id", "text")), "labelled")
+    least = rows.select("hash").orderBy("hash").limit(max_labelled).agg(F.max("hash")).first()[0]
+    rows = rows.where(F.col("hash") <= F.lit(0 if least is None else least)).select("toxic", "text")
     names = sorted(LEXICONS)
+    columns = _chosen_features(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = [frozenset(LEXICONS[k].split()) for k in names]
         for batch in batches:
-            ids, toxic, ones, twos, lex = [], [], [], [], []
-            for d, text, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))):
-                lower = (text or "").lower()
-                counts = Counter(WORD.findall(lower))
-                seen: Counter = Counter()
-                for token, n in counts.items():
-                    for f in token_features(token):
-                        seen[f] += n
-                ids.append(d)
-                toxic.append(y)
-                ones.append(np.array([f for f, n in seen.items() if n == 1], dtype="<u4").tobytes())
-                twos.append(np.array([f for f, n in seen.items() if n > 1], dtype="<u4").tobytes())
-                letters = sum(counts.values())
-                loud = sum(1 for c in (text or "") if c.isupper()) > 0.6 * max(1, sum(len(w) * n for w, n in counts.items()))
-                marks = lower.count("!") > 0.2 * max(1, letters)
-                lex.append([min(2, sum(counts[w] for w in words if w in counts)) for words in lists] + [int(bool(SECOND_PERSON.search(lower))), int(loud), int(marks), min(letters, 1000)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field("doc_id").type), pa.array(toxic, pa.int32()), pa.array(ones, pa.binary()), pa.array(twos, pa.binary()), pa.array(lex, pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "ones", "twos", "lex"],
-            )
-
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, toxic int, ones binary, twos binary, lex array<int>"
-    found = map_arrow(rows, run, schema).orderBy("doc_id").limit(2 * max_labelled).collect()
-    y = np.array([r["toxic"] for r in found], dtype=int)
-    if len(y) < 20 or not 0 < y.sum() < len(y):
-        return _default_model()
-    ones = [np.frombuffer(r["ones"], "<u4") for r in found]
-    twos = [np.frombuffer(r["twos"], "<u4") for r in found]
-    lex = np.array([r["lex"] for r in found])
-    return _fit_arrays(y, ones, twos, lex, names)
-
-
-def _association(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
-    """G statistic of features in a of na toxic and b of nb clean texts, where toxic ones have more."""
-    n, total = a + b, na + nb
-    ea, eb = n * na / total, n * nb / total
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = np.where(a > 0, a * np.log(a / ea), 0.0) + np.where(b > 0, b * np.log(b / eb), 0.0)
-    return np.where(a > ea, 2 * g, 0.0)
-
-
-def _fit_arrays(y: np.ndarray, ones: list[np.ndarray], twos: list[np.ndarray], lex: np.ndarray, names: list[str]) -> Model:
-    na, nb = int(y.sum()), int(len(y) - y.sum())
-    # Texts by feature and label: at any count, and at two or more.
-    counts = np.zeros((2, 2, SPACE), dtype=np.int32)
-    for label, o, t in zip(y, ones, twos):
-        for level, own in ((0, o), (0, t), (1, t)):
-            counts[level, label, own] += 1
-    tests = int((counts.sum(axis=1) > 0).sum())
-    scored = []
-    for level in (0, 1):
-        seen = np.flatnonzero(counts[level].any(axis=0))
-        b, a = counts[level][:, seen].astype(float)
-        g = _association(a, b, na, nb)
-        # A voter must be right more often than not, beside being no accident.
-        top = np.flatnonzero((g > 2 * np.log(max(tests, 2)) + 4) & (a / na > 3 * b / nb))
-        scored += [(-float(g[i]), level + 1, int(seen[i])) for i in top]
-    columns = [s[1:] for s in sorted(scored)[:MAX_FEATURES]]
-    del counts
-    place = np.full((2, SPACE), -1, dtype=np.int16)
-    for k, (level, f) in enumerate(columns):
-        place[level - 1, f] = k
-    found = np.zeros((len(y), len(columns)), dtype=np.float32)
-    for i, (o, t) in enumerate(zip(ones, twos)):
-        for level, own in ((0, o), (0, t), (1, t)):
-            at = place[level, own]
-            found[i, at[at >= 0]] = 1
+            found, lex = [], []
+            for text in (t or "" for t in batch.column(1).to_pylist()):
+                counts = Counter(WORD.findall(text.lower()))
+                seen = _features(counts)
+                found.append(np.packbits(np.array([seen.get(f, 0) >= level for level, f in columns], dtype=bool)).tobytes())
+                lex.append(_lexical(text, counts, lists))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(lex, pa.list_(pa.int32()))], names=["toxic", "found", "lex"])
+
+    # In an order that the rows' contents decide, so that the fit does not depend on their files.
+    found = sorted((r["toxic"], bytes(r["found"]), tuple(r["lex"])) for r in map_arrow(rows, run, "toxic int, found binary, lex array<int>").collect())
+    width = -(-len(columns) // 8)
+    bits = np.unpackbits(np.frombuffer(b"".join(f for _, f, _ in found), np.uint8).reshape(len(found), width), axis=1)[:, : len(columns)]
+    y = np.array([t for t, _, _ in found], dtype=int)
+    lex = np.array([x for _, _, x in found], dtype=int).reshape(len(found), len(names) + 3)
+    # The prior rows: PRIOR with two words of each sure list, and PRIOR_CLEAN with none.
+    sure = [k for k, name in enumerate(names) if name not in AMBIGUOUS]
+    known = np.zeros((PRIOR * len(sure) + PRIOR_CLEAN, lex.shape[1]), dtype=int)
+    for at, k in enumerate(sure):
+        known[PRIOR * at : PRIOR * (at + 1), k] = 2
+    lex = np.vstack([known, lex])
+    y = np.r_[known.any(axis=1).astype(int), y]
+    bits = np.vstack([np.zeros((len(known), len(columns)), dtype=np.uint8), bits])
+    return _fit_arrays(y, columns, bits.astype(np.float32), lex, names)
+
+
+def _chosen_features(rows: DataFrame) -> list[tuple[int, int]]:
+    """(level, feature) of the classifier's columns.
+
+    Each task counts its rows' features once; the counts are summed and judged on the executors.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Texts by feature and label: at any count, and at two or more.
+        counts, n = np.zeros((2, 2, SPACE), dtype=np.int32), [0, 0]
+        for batch in batches:
+            for y, text in zip(*(c.to_pylist() for c in batch.columns)):
+                n[y] += 1
+                seen = _features(Counter(WORD.findall((text or "").lower())))
+                counts[0, y, list(seen)] += 1
+                counts[1, y, [f for f, k in seen.items() if k > 1]] += 1
+        for level in (0, 1):
+            at = np.flatnonzero(counts[level].any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level + 1, np.int32)), pa.array(at), pa.array(counts[level, 1, at], pa.int64()), pa.array(counts[level, 0, at], pa.int64())], names=["level", "feature", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0]), pa.array([n[1]], pa.int64()), pa.array([n[0]], pa.int64())], names=["level", "feature", "a", "b"])
+
+    partial = map_arrow(rows, run, "level int, feature bigint, a bigint, b bigint")
+    sums = cut(rows.sparkSession, partial.groupBy("level", "feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "feature-counts")
+    size = sums.where("level = 0").select("a", "b").first()
+    na, nb = (size["a"], size["b"]) if size else (0, 0)
+    if not na or not nb:
+        return []
+    tests = sums.where("level > 0").count()
+    a, b, total = F.col("a"), F.col("b"), float(na + nb)
+    share = lambda x, of: F.when(x > 0, x * F.log(x / ((a + b) * (of / total)))).otherwise(0.0)
+    # The G statistic, of features that toxic texts have more often; a voter must be right more often than not, beside being no accident.
+    found = sums.where("level > 0").withColumn("g", 2 * (share(a, na) + share(b, nb)))
+    top = found.where((F.col("g") > float(2 * np.log(max(tests, 2)) + 4)) & (a / na > 3 * b / nb))
+    best = top.orderBy(F.desc("g"), "level", "feature").limit(MAX_FEATURES).collect()
+    return [(r["level"], r["feature"]) for r in best]
+
+
+def _fit_arrays(y: np.ndarray, columns: list[tuple[int, int]], found: np.ndarray, lex: np.ndarray, names: list[str]) -> Model:
+    na = int(y.sum())
     # Voters: each word list, the patterns, and the found stems in groups.
     k = len(names)
     voters = [np.where(lex[:, j] > 0, 1, 0) for j in range(k)]
@@ -254,7 +274,7 @@ def _fit_arrays(y: np.ndarray, ones: list[np.ndarray], twos: list[np.ndarray], l
     if columns:
         voters.append(np.where(found.any(axis=1) | (lex[:, :k].sum(axis=1) > 0), 0, -1))
     votes = np.stack(voters, axis=1).astype(np.int8)
-    q, _, _ = label_model(votes, y, min(0.5, max(0.005, na / len(y))))
+    q, _, _ = label_model(votes, y, min(0.5, max(0.005, na / max(len(y), 1))))
     x = np.hstack([found, lex[:, :k] > 0, lex[:, :k] > 1]).astype(np.float32)
     bias, w = logistic(x, q)
     model = Model(bias)
