@@ -9,11 +9,13 @@ payload as an earlier one can be revisits without it.
 
 WARC files are written by Spark's text writer with the record end as its line
 separator, so commits, retries and remote stores are Spark's, and are read again
-by their declared lengths.
+by their declared lengths. Rows are dealt to as many tasks as keep a task's file at
+about FILE_BYTES, so that files are bounded by bytes, however long pages are.
 
 Defined results: a null payload is empty, with the digest of no bytes; a null
-address becomes a urn; rows that repeat get a record each, and all that carry
-the group's smallest id are responses; an empty table gives no record.
+address becomes a urn; rows that repeat get a record each, of its own identifier,
+and all that carry the group's smallest id are responses, of which revisits refer
+to one; an empty table gives no record; further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm.shared import map_arrow, scratch_path
+from traceloom.llm.shared import cut, map_arrow, scratch_path
 
 #: Field names of a record header by ARC version (fixed values).
 FIELDS = {
@@ -40,6 +42,8 @@ FIELDS = {
 }
 RECORD_END = "\r\n\r\n"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # URLs, RFC 4122
+#: Bytes of payloads that a file holds about.
+FILE_BYTES = 32 << 20
 #: Payloads under this many bytes are stored again rather than referred to.
 LEAST_REVISIT = 100
 UNSAFE = re.compile(r"[\x00-\x20\x7f\x85\xa0  ]")
@@ -202,11 +206,18 @@ def arc_to_warc(stream: BinaryIO, salt: str = "") -> Iterator[WarcRecord]:
         yield convert(record, f"{salt}{k}")
 
 
-def first_holders(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """(digest, holder): the smallest id of each payload of `least` bytes or more that several rows have."""
+def payloads(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = LEAST_REVISIT) -> tuple[DataFrame, int]:
+    """(id, digest, n, holder) of each payload of each id, and the bytes of all rows.
+
+    n counts its rows; holder is the smallest id with a payload of `least` bytes or
+    more that several ids have. No payload is shuffled.
+    """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.where(F.octet_length(payload) >= least).select(F.col(id_col).alias("id"), F.sha2(payload.cast("binary"), 256).alias("digest"))
-    return rows.groupBy("digest").agg(F.min("id").alias("holder"), F.count("*").alias("n")).where("n > 1").select("digest", "holder")
+    rows = pages.select(F.col(id_col).alias("id"), F.octet_length(payload).cast("bigint").alias("bytes"), F.sha2(payload.cast("binary"), 256).alias("digest"))
+    each = cut(spark, rows.groupBy("id", "digest").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes")), "payloads")
+    held = each.where((F.col("bytes") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("holder"), F.count("*").alias("ids"))
+    total = each.agg(F.sum(F.col("n") * F.col("bytes"))).first()[0] or 0
+    return each.drop("bytes").join(held.where("ids > 1").drop("ids"), "digest", "left"), total
 
 
 def write_archive(
@@ -216,22 +227,26 @@ def write_archive(
     """Store pages as ARC records, convert these, and write the WARC files to path.
 
     Rows of odd and even tasks take the two ARC versions. A row whose payload an
-    earlier id holds becomes a revisit of that id's record.
+    earlier id holds becomes a revisit of that id's record. Rows of one id and
+    payload meet in one task, which names the first of them as that record.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    rows = rows.join(first_holders(pages, id_col, html_col), "digest", "left").select("id", "url", "html", "holder")
+    held, total = payloads(spark, pages, id_col, html_col)
+    rows = rows.repartition(1 + total // FILE_BYTES, "id", "digest").join(held, ["id", "digest"], "left").select("id", "url", "html", "holder", "n", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         task = context.partitionId() if context else 0
-        version, name, opened = 1 + task % 2, f"part-{task:05d}.arc", False
+        version, name, opened, k = 1 + task % 2, f"part-{task:05d}.arc", False, -1
+        named: set = set()
         for batch in batches:
             out: list[bytes] = []
-            for k, (i, url, html, holder) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+            for i, url, html, holder, n, digest in zip(*(c.to_pylist() for c in batch.columns)):
+                k += 1
                 body = html.encode("utf-8", "surrogatepass")
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
                 arc = arc_version_block(name, date, version) + arc_record(safe_url(url, f"urn:page:{i}"), date, "text/html", head + body, version, name)
@@ -242,10 +257,12 @@ def write_archive(
                 refers = holder is not None and i is not None and i != holder
                 extra = [] if i is None else [("X-Source-ID", str(i))]
                 extra += [("X-Payload-Length", str(len(body)))] + ([("X-Refers-To-Source-ID", str(holder))] if refers else [])
-                target = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'source {holder}')}>" if refers else None
+                target = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'source {holder} {digest}')}>" if refers else None
                 made = convert(record, f"{name} {k}", target, extra)
-                if i is not None and not refers:
-                    made.headers = [(h, f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'source {i}')}>" if h == "WARC-Record-ID" else v) for h, v in made.headers]
+                if i is not None and not refers and (i, digest) not in named:
+                    if n > 1:
+                        named.add((i, digest))
+                    made.headers = [(h, f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'source {i} {digest}')}>" if h == "WARC-Record-ID" else v) for h, v in made.headers]
                 out.append(made.to_bytes())
                 if len(out) >= 64:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
