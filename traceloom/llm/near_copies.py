@@ -1,8 +1,10 @@
 """Groups of rows whose texts share most of their word shingles.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word
-shingles is at least SIMILARITY; linked texts form groups. Candidates meet
-under one of BANDS keys of DEPTH minimum hashes each (Broder, 1997): a pair of
+shingles is at least SIMILARITY; linked texts form groups. The first candidates are
+those that simhash_dedup groups by fingerprints of five-word shingles, each with
+its group's smallest row; fingerprints at 0.8 differ in too many bits to be found
+by parts (README), so the others meet under one of BANDS keys of DEPTH minimum hashes each (Broder, 1997): a pair of
 similarity s shares none with probability (1 - s**DEPTH) ** BANDS, 5e-8 at 0.8.
 Those whose one-bit sketches differ in more than APART of 512 bits go (Li and
 König, 2010; as improbable at 0.8); every pair left is held against the exact
@@ -10,8 +12,9 @@ similarity of its texts.
 
 A key's members are not paired with each other where they are many: the first is
 compared with all, and then only those outside the key's largest component, so
-that a large group of near copies costs its size and not its square. No pair of
-different components that meet under a key is left out.
+that a large group of near copies costs its size and not its square. A pair is
+looked at under the first key only that it shares. No pair of different components
+that meet under a key is left out.
 
 Defined results: texts of fewer words than a shingle are one shingle; null and
 empty texts have none and are copies of each other.
@@ -28,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceloom.llm import simhash_dedup
 from traceloom.llm.shared import cut, map_arrow, min_components
 
 WIDTH = 5
@@ -102,28 +106,42 @@ def check_pairs(spark: SparkSession, pairs: DataFrame, rows: DataFrame) -> DataF
     return cut(spark, map_arrow(held.select("a", "b", "s", "t"), run, "a bigint, b bigint"), "links")
 
 
+def fingerprint_pairs(spark: SparkSession, rows: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes: each row that simhash_dedup groups, and its group's smallest row."""
+    found = simhash_dedup.near_duplicates(spark, rows, id_col="row", width=WIDTH)
+    node = signed.select("row", "set").join(nodes.select("set", "node"), "set").select("row", "node")
+    grouped = found.where("id <> component_id").select(F.col("id").alias("row"), F.col("component_id").alias("least"))
+    both = grouped.join(node, "row").join(node.select(F.col("row").alias("least"), F.col("node").alias("other")), "least")
+    return both.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def groups(spark: SparkSession, rows: DataFrame, small: int = SMALL) -> DataFrame:
     """(row, component) of every row of rows (row, text); component is the smallest row of its group."""
     signed = cut(spark, signatures(rows), "signatures")
     nodes = cut(spark, signed.groupBy("set").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sets")
     words = [f"w{k}" for k in range(SKETCH)]
-    member = ["node", "size", "key", *words]
-    spots = nodes.select("node", "size", F.explode("keys").alias("key"), *(F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(words)))
-    by = F.xxhash64("node")
-    counts = spots.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", by).alias("first")).where("n > 1")
-    met = cut(spark, spots.join(counts, "key"), "keys")
+    member = ["node", "size", "key", "band", "tags", *words]
+    # Keys that several sets share are found by themselves, before sketches are joined to them.
+    spots = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    counts = spots.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("first")).where("n > 1")
+    shared = cut(spark, spots.join(counts, "key"), "shared-keys")
+    # Of a key, 32 bits tell whether another text has the same one.
+    tags = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))
+    marked = nodes.select("node", "size", tags.alias("tags"), *(F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(words)))
+    met = cut(spark, shared.join(marked, "node"), "keys")
 
     def fitting(a: DataFrame, b: DataFrame, on) -> DataFrame:
         # Sizes alone bound the similarity.
         x, y = a.alias("x"), b.alias("y")
         apart = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
         close = (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * SIMILARITY - 1e-6) & (apart <= APART)
-        return x.join(y, (F.col("x.key") == F.col("y.key")) & close & on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        here = F.array_position(F.zip_with("x.tags", "y.tags", lambda s, t: s == t), True) == F.col("x.band") + 1
+        return x.join(y, (F.col("x.key") == F.col("y.key")) & on & close & here).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
     few = met.where(F.col("n") <= small)
     many = met.where(F.col("n") > small)
     pairs = fitting(few, few, F.col("x.node") < F.col("y.node")).unionByName(fitting(many.where("node = first"), many, F.col("x.node") != F.col("y.node")))
-    pairs = cut(spark, pairs.distinct(), "pairs")
+    pairs = cut(spark, pairs.unionByName(fingerprint_pairs(spark, rows, signed, nodes)).distinct(), "pairs")
     links = check_pairs(spark, pairs, rows)
     tested, left, most = pairs, cut(spark, many.where("node <> first").select(*member), "left-keys"), 2 * small
     while True:

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors share (spark.checkpoint.dir).
 
-    It is set here to a temporary folder only where the session names none,
-    as in a local test.
+    Where the session names none, a local session gets a temporary folder, as in
+    a test; on a cluster, whose machines do not share one, it is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf:
@@ -29,12 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
         except Exception:
             conf = None
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="traceloom-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
 _SEEN: set[str] = set()
+#: Scratch tables by the scopes that are open.
+_SCOPES: list[list[str]] = []
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -49,7 +54,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if root not in _SEEN:
         _SEEN.add(root)
         atexit.register(_remove, spark, root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables that are made within it; what is wanted of them is written before it ends."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
 
 
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -70,7 +89,7 @@ BATCH_BYTES = 8 << 20
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow in batches of bounded bytes, so that long texts do not add up in a worker.
 
-    It sets the session's spark.sql.execution.arrow.maxBytesPerBatch to BATCH_BYTES.
+    The plan is made when the query runs, so the setting must still hold then: it sets the session's spark.sql.execution.arrow.maxBytesPerBatch to BATCH_BYTES.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
