@@ -1,7 +1,8 @@
 """From documents to packed training sequences: five stages, each one operator of traceloom.llm.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each
-stage's rows as Parquet to the shared folder and reads them as the next one's.
+stage's rows as Parquet to the shared folder and reads them as the next one's; what
+a stage keeps there for itself goes when its rows are written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.llm import decontaminate, near_copies, packing, quality_rules, toxicity
-from traceloom.llm.shared import cut, table
+from traceloom.llm.shared import cut, scratch_path, scratch_scope, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -53,9 +54,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences."""
-    out = packing.pack(spark, docs.select(*COLUMNS), with_ids=False)
-    return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+    """Pieces of all documents with their token ids, placed in sequences."""
+    out = packing.pack(spark, docs.select(*COLUMNS))
+    return out.select(F.col("id").alias("doc_id"), "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 STAGES = [
@@ -73,5 +74,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(spark, stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
+        with scratch_scope(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return docs
