@@ -149,23 +149,26 @@ def cut_pieces(
             if encode is None:
                 encode = tokenizer()
             at: list[int] = []
-            cols: list[list] = [[] for _ in range(6 if with_ids else 5)]
+            cols: list[list] = [[] for _ in range(5)]
+            bodies: list[bytes] = []
             for k, body in enumerate(encode([t or "" for t in batch.column(1).to_pylist()])):
                 row += 1
                 ids = memoryview(body + last)
+                if with_ids:
+                    bodies.append(ids)
                 n, start = len(ids) // 4, 0
                 for length in piece_lengths(n, longest):
                     piece = ids[4 * start : 4 * (start + length)]
                     at.append(k)
                     for c, v in zip(cols, (row, start, length, zlib.crc32(piece), n)):
                         c.append(v)
-                    if with_ids:
-                        cols[5].append(piece.cast("I").tolist())
                     start += length
-            types = [pa.int64()] * 5 + [pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], names=names
-            )
+            out = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)]
+            if with_ids:
+                # A document's pieces follow each other, so all ids of the batch are one run.
+                offsets = np.concatenate([[0], np.cumsum(cols[2], dtype=np.int64)]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(bodies), "<i4"))))
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     return map_arrow(source, run, empty.schema)
 

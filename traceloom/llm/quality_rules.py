@@ -163,12 +163,16 @@ def _with_cuts(rows: DataFrame, strata: str, name: str, own: Collection[str], cu
     table = rows.sparkSession.createDataFrame([(s, cuts.get(s, empty)) for s in sorted(own)], f"`{name}_of` string, `{name}` array<array<int>>")
     stratum = F.coalesce(F.col(strata).cast("string"), F.lit(""))
     pooled = F.array(*(F.array(*(F.lit(c) for c in level)) for level in cuts.get("", empty)))
+    # One row of some hundred numbers for each stratum: broadcast while they are few enough to be small.
+    table = F.broadcast(table) if len(own) <= MOST_BROADCAST else table
     found = rows.join(table, stratum == F.col(f"{name}_of"), "left") if own else rows.withColumn(name, F.lit(None).cast("array<array<int>>"))
     return found.withColumn(name, F.coalesce(name, pooled)).drop(f"{name}_of")
 
 
 #: The cutoff of a rule that rejects nothing.
 NEVER = BINS
+#: Strata whose cutoffs are broadcast: under 2 MB for eight policies of eight rules.
+MOST_BROADCAST = 4096
 
 
 def calibrate(
@@ -189,6 +193,7 @@ def calibrate(
     counts = held.where("good").groupBy("stratum").agg(F.count("*").alias("n"))
     own = {r["stratum"] for r in counts.where((F.col("n") >= least) & (F.col("stratum") != "")).collect()}
     names = held.sparkSession.createDataFrame([(s,) for s in sorted(own)], "own string")
+    names = F.broadcast(names) if len(own) <= MOST_BROADCAST else names
     pooled = held.join(names, F.col("stratum") == F.col("own"), "left").withColumn("stratum", F.coalesce("own", F.lit(""))).drop("own")
     pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES)))
     bins = pooled.where("proposes").select("stratum", "good", pairs.alias("x")).groupBy("stratum", "x.rule", "x.bin")
