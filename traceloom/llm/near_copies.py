@@ -123,7 +123,8 @@ def groups(spark: SparkSession, rows: DataFrame, small: int = SMALL) -> DataFram
     member = ["node", "size", "key", "band", "tags", *words]
     # Keys that several sets share are found by themselves, before sketches are joined to them.
     spots = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    counts = spots.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("first")).where("n > 1")
+    # Written first, so that a large key's rows can be split in the join.
+    counts = cut(spark, spots.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("by"), "node")).alias("one")).where("n > 1").select("key", "n", F.col("one.node").alias("first")), "key-sizes")
     shared = cut(spark, spots.join(counts, "key"), "shared-keys")
     # Of a key, 32 bits tell whether another text has the same one.
     tags = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,16 +85,32 @@ def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch at most, beyond its first row.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+
+
+def _returned() -> None:
+    """Give the memory that this worker has freed back to the system, for the tasks beside it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow in batches of bounded bytes, so that long texts do not add up in a worker.
 
-    The plan is made when the query runs, so the setting must still hold then: it sets the session's spark.sql.execution.arrow.maxBytesPerBatch to BATCH_BYTES.
+    The plan is made when the query runs, so the setting must still hold then: it
+    sets the session's spark.sql.execution.arrow.maxBytesPerBatch to BATCH_BYTES.
+    Workers live on after a task, without the memory that it has taken.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _returned()
+
+    return df.mapInArrow(task, schema)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -195,6 +195,8 @@ def probe_keys(fps: DataFrame, parts: list[Part]) -> DataFrame:
     return out
 
 
+#: Rows whose finer keys are made at once.
+SPLIT_ROWS = 5_000
 #: Fingerprints under one key that one task compares at once.
 LIMIT = 2048
 
@@ -211,21 +213,33 @@ def split_keys(rows: DataFrame, radius: int) -> DataFrame:
     schema = pa.schema([("fp", pa.int64()), ("path", pa.string()), ("key", pa.int64()), ("mask", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finer: dict[int, list[int]] = {}
+        finer: dict[int, np.ndarray] = {}
         for batch in batches:
-            cols = batch.to_pydict()
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for fp, path, key, mask in zip(cols["fp"], cols["path"], cols["key"], cols["mask"]):
-                if mask not in finer:
-                    left = [b for b in range(BITS) if not (mask >> b) & 1]
+            path = batch.column("path").dictionary_encode()
+            codes = path.indices.to_numpy(zero_copy_only=False)
+            fp, key, mask = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "key", "mask"))
+            # A path has one mask.
+            for code, name in enumerate(path.dictionary.to_pylist()):
+                own = np.flatnonzero(codes == code)
+                if not len(own):
+                    continue
+                m = int(mask[own[0]])
+                if m not in finer:
+                    left = [b for b in range(BITS) if not (m >> b) & 1]
                     blocks = [list(map(int, x)) for x in np.array_split(np.array(left), 2 * radius)]
-                    finer[mask] = [_mask(tuple(b for k, block in enumerate(blocks) if k not in c for b in block)) for c in choices]
-                for k, fine in enumerate(finer[mask]):
-                    out[0].append(fp)
-                    out[1].append(f"{path}.{k}")
-                    out[2].append(key | _signed((fp & (2**64 - 1)) & fine))
-                    out[3].append(_signed((mask & (2**64 - 1)) | fine))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                    finer[m] = np.array([_signed(_mask(tuple(b for k, block in enumerate(blocks) if k not in c for b in block))) for c in choices], dtype=np.int64)
+                fine = finer[m]
+                names = pa.array([f"{name}.{k}" for k in range(len(fine))])
+                for lo in range(0, len(own), SPLIT_ROWS):
+                    at = own[lo : lo + SPLIT_ROWS]
+                    ways = pa.array(np.tile(np.arange(len(fine), dtype=np.int32), len(at)))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.repeat(fp[at], len(fine))), pa.DictionaryArray.from_arrays(ways, names).cast(pa.string()),
+                            pa.array((key[at, None] | (fp[at, None] & fine)).ravel()), pa.array(np.tile(m | fine, len(at))),
+                        ],
+                        schema=schema,
+                    )
 
     return map_arrow(rows.select("fp", "path", "key", "mask"), run, _ROWS)
 
@@ -237,7 +251,7 @@ def _links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     root = list(range(n))
     edges: list[tuple[int, int]] = []
     u = fps.view(np.uint64)
-    step = max(1, 1_000_000 // max(n, 1))
+    step = max(1, 250_000 // max(n, 1))
 
     def top(x: int) -> int:
         while root[x] != x:
