@@ -6,13 +6,15 @@ those that simhash_dedup groups by fingerprints of five-word shingles, each with
 its group's smallest row; fingerprints at 0.8 differ in too many bits to be found
 by parts (README), so the others meet under one of BANDS keys of DEPTH minimum hashes each (Broder, 1997): a pair of
 similarity s shares none with probability (1 - s**DEPTH) ** BANDS, 5e-8 at 0.8.
-Those whose one-bit sketches differ in more than APART of 512 bits go (Li and
-König, 2010; as improbable at 0.8); every pair left is held against the exact
-similarity of its texts.
-
-A key's members are not paired with each other where they are many: the first is
-compared with all, and then only those outside the key's largest component, so
-that a large group of near copies costs its size and not its square. A pair is
+Those whose sketches, four bits of each of 512 minimum hashes, differ in more than
+APART places go (Li and König, 2010; as improbable at 0.8); every pair left is held
+against the exact similarity of its texts.
+
+A key's members are not paired with each other where they are many: the one whose
+own keys have the most members, near to which the others lie, is compared with all,
+and then only those outside the key's largest component, first with those that their
+sketches say are close, so that a large group of near copies costs its size and not
+its square. A pair is
 looked at under the first key only that it shares. No pair of different components
 that meet under a key is left out.
 
@@ -36,15 +38,17 @@ from traceloom.llm.shared import cut, map_arrow, min_components
 
 WIDTH = 5
 BANDS, DEPTH = 32, 4
-#: Words of 64 bits of a sketch, and the bits in which sketches of similar sets differ at most: at
-#: 0.8 they differ in 51, with a standard deviation of 7.
-SKETCH, APART, SIMILARITY = 8, 90, 0.8
+#: Minimum hashes of a sketch, which has 4 bits of each, and the places in which sketches of similar sets differ at most: at
+#: 0.8 they differ in 96, with a standard deviation of 9; pairs of at most CLOSE are looked at first.
+HASHES, APART, CLOSE, SIMILARITY = 512, 143, 80, 0.8
+#: Words of 64 bits of a sketch.
+SKETCH = HASHES // 16
 #: Members of a key that are paired with each other at once.
 SMALL = 16
 #: Shingles whose minimum hashes are taken at once; bounds the memory that one long text takes.
 SLICE = 1_000
 _RNG = np.random.default_rng(42)
-_FACTOR, _SHIFT = (_RNG.integers(1, 2**63, 64 * SKETCH, dtype=np.uint64) for _ in range(2))
+_FACTOR, _SHIFT = (_RNG.integers(1, 2**63, HASHES, dtype=np.uint64) for _ in range(2))
 _FACTOR |= np.uint64(1)
 
 
@@ -59,12 +63,13 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 def keys_and_sketch(shingles: np.ndarray) -> tuple[list[int], list[int]]:
     """The keys of a set, one for each band, and its sketch."""
-    least = np.full(64 * SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    least = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for lo in range(0, len(shingles), SLICE):
         np.minimum(least, (shingles[lo : lo + SLICE, None] * _FACTOR + _SHIFT).min(axis=0), out=least)
     keys = [xxhash.xxh64_intdigest(part.tobytes(), seed=k) - 2**63 for k, part in enumerate(least[: BANDS * DEPTH].reshape(BANDS, DEPTH))]
-    # A bit below those that the order of minima depends on.
-    return keys, np.packbits((least >> np.uint64(32) & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist()
+    # Bits below those that the order of minima depends on.
+    part = (least >> np.uint64(32) & np.uint64(15)).reshape(SKETCH, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return keys, np.bitwise_or.reduce(part, axis=1).view(np.int64).tolist()
 
 
 def similar(a: str | None, b: str | None) -> bool:
@@ -120,49 +125,56 @@ def groups(spark: SparkSession, rows: DataFrame, small: int = SMALL) -> DataFram
     signed = cut(spark, signatures(rows), "signatures")
     nodes = cut(spark, signed.groupBy("set").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sets")
     words = [f"w{k}" for k in range(SKETCH)]
-    member = ["node", "size", "key", "band", "tags", *words]
-    # Keys that several sets share are found by themselves, before sketches are joined to them.
+    # Keys that several sets share are found by themselves, before sketches are joined to them; what is joined is
+    # written first, so that a large key's rows can be split.
     spots = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    # Written first, so that a large key's rows can be split in the join.
-    counts = cut(spark, spots.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("by"), "node")).alias("one")).where("n > 1").select("key", "n", F.col("one.node").alias("first")), "key-sizes")
+    counts = cut(spark, spots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
     shared = cut(spark, spots.join(counts, "key"), "shared-keys")
     # Of a key, 32 bits tell whether another text has the same one.
     tags = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))
-    marked = nodes.select("node", "size", tags.alias("tags"), *(F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(words)))
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    marked = nodes.select("node", "size", tags.alias("tags"), *(F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(words))).join(weight, "node")
     met = cut(spark, shared.join(marked, "node"), "keys")
+    member = ["node", "size", "key", "band", "tags", *words]
 
-    def fitting(a: DataFrame, b: DataFrame, on) -> DataFrame:
+    def fitting(a: DataFrame, b: DataFrame, on, most: int = APART) -> DataFrame:
         # Sizes alone bound the similarity.
         x, y = a.alias("x"), b.alias("y")
-        apart = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
-        close = (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * SIMILARITY - 1e-6) & (apart <= APART)
+        ones = F.lit(0x1111111111111111)
+        either = lambda v: v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        apart = F.lit(0)
+        for w in words:
+            v = either(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}")))
+            apart = apart + F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(ones))
+        close = (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * SIMILARITY - 1e-6) & (apart <= most)
         here = F.array_position(F.zip_with("x.tags", "y.tags", lambda s, t: s == t), True) == F.col("x.band") + 1
         return x.join(y, (F.col("x.key") == F.col("y.key")) & on & close & here).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
     few = met.where(F.col("n") <= small)
     many = met.where(F.col("n") > small)
-    pairs = fitting(few, few, F.col("x.node") < F.col("y.node")).unionByName(fitting(many.where("node = first"), many, F.col("x.node") != F.col("y.node")))
+    first = cut(spark, many.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("node").alias("by"), "node")).alias("one")).select("key", F.col("one.node").alias("node")), "first")
+    lead = many.join(first, ["key", "node"], "left_semi")
+    pairs = fitting(few, few, F.col("x.node") < F.col("y.node")).unionByName(fitting(lead, many, F.col("x.node") != F.col("y.node")))
     pairs = cut(spark, pairs.unionByName(fingerprint_pairs(spark, rows, signed, nodes)).distinct(), "pairs")
     links = check_pairs(spark, pairs, rows)
-    tested, left, most = pairs, cut(spark, many.where("node <> first").select(*member), "left-keys"), 2 * small
-    while True:
-        found = cut(spark, min_components(spark, links), "components")
-        if left.isEmpty():
-            break
-        own = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        own = cut(spark, own, "labelled")
-        parts = own.groupBy("key", "component").agg(F.count("*").alias("c"))
-        large = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("minor")).where("minor > 0")
-        own = cut(spark, own.join(large, "key"), "minor-keys")
-        if own.isEmpty():
-            break
-        # Of a key's members outside its main component, about `most` are compared with all others.
-        lead = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("node", F.lit(most)), F.ceil(F.col("minor") / most)) == 0)
-        asked = fitting(own.where(lead), own, F.col("x.component") != F.col("y.component")).distinct().join(tested, ["a", "b"], "left_anti")
-        asked = cut(spark, asked, "pairs")
-        if not asked.isEmpty():
-            links = links.unionByName(check_pairs(spark, asked, rows))
-            tested = tested.unionByName(asked)
-        left, most = cut(spark, own.where(~lead).select(*member), "left-keys"), 2 * most
+    tested, everyone = pairs, cut(spark, many.select(*member), "left-keys")
+    found = cut(spark, min_components(spark, links), "components")
+    for limit in (CLOSE, APART):
+        left, most = everyone, 4 * small
+        while not left.isEmpty():
+            own = cut(spark, left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+            parts = own.groupBy("key", "component").agg(F.count("*").alias("c"))
+            large = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"))
+            large = cut(spark, large.select("key", F.col("top.component").alias("main"), (F.col("c") - F.col("top.c")).alias("minor")).where("minor > 0"), "large")
+            own = cut(spark, own.join(large, "key"), "minor-keys")
+            # Of a key's members outside its main component, about `most` are compared with all others.
+            chosen = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("node", F.lit(most)), F.ceil(F.col("minor") / most)) == 0)
+            asked = fitting(own.where(chosen), own, F.col("x.component") != F.col("y.component"), limit).distinct().join(tested, ["a", "b"], "left_anti")
+            asked = cut(spark, asked, "pairs")
+            if not asked.isEmpty():
+                links = links.unionByName(check_pairs(spark, asked, rows))
+                tested = tested.unionByName(asked)
+                found = cut(spark, min_components(spark, links), "components")
+            left, most = cut(spark, own.where(~chosen).select(*member), "left-keys"), 4 * most
     named = nodes.select("set", "node").join(found, "node", "left")
     return signed.select("row", "set").join(named.select("set", F.coalesce("component", "node").alias("component")), "set").select("row", "component")
