@@ -63,7 +63,7 @@ class Canonical:
     Words seen are kept, up to MAX_WORDS, with their hash and kind.
     """
 
-    MAX_WORDS = 200_000
+    MAX_WORDS = 150_000
 
     def __init__(self) -> None:
         self.slot = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in ("word", "name", "number", "unit")], dtype=np.uint64)

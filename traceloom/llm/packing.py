@@ -96,6 +96,10 @@ class WordTokenizer:
                     yield b"".join(map(known.__getitem__, words))
             lo = hi
 
+    def rest(self) -> None:
+        """Keep the common words only, for as long as the worker has no task."""
+        self.words = dict(islice(self.words.items(), CACHE_WORDS // 3))
+
 
 def default_tokenizer() -> WordTokenizer:
     """The tokenizer of word_bpe_49k.json; a worker process keeps it, with its words, for later tasks."""
@@ -169,6 +173,8 @@ def cut_pieces(
                 offsets = np.concatenate([[0], np.cumsum(cols[2], dtype=np.int64)]).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(bodies), "<i4"))))
             yield pa.RecordBatch.from_arrays(out, names=names)
+        if isinstance(encode, WordTokenizer):
+            encode.rest()
 
     return map_arrow(source, run, empty.schema)
 

@@ -85,7 +85,7 @@ def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch at most, beyond its first row.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def _returned() -> None:

@@ -84,7 +84,7 @@ class Model:
         def score(text: str | None) -> float:
             counts = Counter(WORD.findall((text or "").lower()))
             z, found = self.bias, Counter()
-            if len(known) > 200_000:
+            if len(known) > 100_000:
                 known.clear()
             for token, n in counts.items():
                 hits = known.get(token)
