@@ -125,3 +125,24 @@ def bh_adjust(df, p: str, out: str = "q", by: list[str] | None = None):
     # Ties take their largest rank.
     rank = F.count(p).over(up.rangeBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_raw", F.col(p) * n / rank).withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_raw")
+
+
+def exact_quantiles(rows, value: Named, probabilities, by: list[str] | None = None):
+    """(by, quantiles): interpolated quantiles of the finite values, as an array.
+
+    Equal values are counted first and the counts are summed in order, so that no
+    aggregate holds a whole column; without by, the sums run over buckets.
+    """
+    keys = list(by or [])
+    counts = rows.select(*keys, blank(value).alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_k"))
+    upto = running_sums(counts, "_v", {"_upto": "_k"}, keys)
+    total = counts.groupBy(*keys).agg(F.sum("_k").alias("_n"))
+    both = upto.join(total, keys) if keys else upto.join(F.broadcast(total))
+    out = []
+    for p in probabilities:
+        at = (F.col("_n") - 1) * float(p)
+        # The order statistics at the place and after it, from 0.
+        lo, hi = (F.min(F.when(F.col("_upto") > f(at), F.col("_v"))) for f in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        out.append(lo + (hi - lo) * part)
+    return both.groupBy(*keys).agg(F.array(*out).alias("quantiles"))

@@ -6,18 +6,20 @@ solves systems whose size is that of the features, never of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, PCA, StandardScaler, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.numeric import blank, divide
+from traceloom.model.kernels import FourierFeatures
 
 # Grids (fixed values) ---------------------------------------------------------------
 
@@ -36,11 +38,40 @@ def grid(**values: Sequence) -> list[dict]:
 
 
 def elasticnet_grid() -> list[dict]:
-    return grid(alpha=(0.001, 0.01, 0.1, 0.5, 1.0), l1_ratio=(0.2, 0.5, 0.8))
+    return grid(alpha=(0.001, 0.01, 0.1, 1.0, 10.0), l1_ratio=(0.2, 0.5, 0.8))
 
 
 def logistic_grid(penalty: str = "l2") -> list[dict]:
-    return grid(C=(0.01, 0.1, 1.0, 10.0), **({"l1_ratio": (0.2, 0.5, 0.8)} if penalty == "elasticnet" else {}))
+    """Empty without a penalty, as there is nothing to choose."""
+    if penalty == "none":
+        return []
+    return grid(C=(0.01, 0.1, 1.0, 10.0), **({"l1_ratio": (0.1, 0.5, 0.9)} if penalty == "elasticnet" else {}))
+
+
+def random_forest_grid() -> list[dict]:
+    return grid(max_depth=(5, 10, 20, None), min_samples_split=(2, 5, 10), min_samples_leaf=(1, 2, 4))
+
+
+random_forest_classifier_grid = random_forest_grid
+
+
+def hist_gradient_boosting_grid() -> list[dict]:
+    return grid(max_iter=(100, 200), max_leaf_nodes=(7, 15), min_samples_leaf=(10, 20), l2_regularization=(0.0, 1.0))
+
+
+hist_gradient_boosting_classifier_grid = hist_gradient_boosting_grid
+
+
+def svm_grid() -> list[dict]:
+    return grid(C=(0.1, 1.0, 10.0), gamma=("scale", "auto"))
+
+
+def svr_grid() -> list[dict]:
+    return grid(C=(0.1, 1.0, 10.0), gamma=("scale", 0.01, 0.1), epsilon=(0.01, 0.1))
+
+
+def lda_grid() -> list[dict]:
+    return grid(shrinkage=("auto", 0.1, 0.5, 0.9))
 
 
 # Preparation ------------------------------------------------------------------------
@@ -112,6 +143,8 @@ def normal_equations(rows: DataFrame, columns: Sequence[str], y: str, by: Sequen
     for c in columns:
         ok = ok & blank(c).isNotNull()
     x = rows.where(ok).withColumn("_one", F.lit(1.0))
+    if len(columns) > WIDE:
+        return _gram(x, names, y, by)
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     sums = x.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy"), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"a{i}_{j}") for i, j in pairs), *(F.sum(F.col(n) * F.col(y)).alias(f"b{i}") for i, n in enumerate(names))
@@ -125,6 +158,42 @@ def normal_equations(rows: DataFrame, columns: Sequence[str], y: str, by: Sequen
     return out
 
 
+#: Columns beyond which products are summed by matrices in each task and no longer by an aggregate for each pair.
+WIDE = 24
+
+
+def _gram(rows: DataFrame, names: Sequence[str], y: str, by: Sequence[str]) -> list[dict]:
+    """Sums of products by group: each task multiplies its batches' matrices and emits one row of cells for each group."""
+    width = len(names) + 1
+    source = rows.select(F.struct(*(F.col(k) for k in by)).alias("key") if by else F.lit(0).alias("key"), F.array(*(F.col(c).cast("double") for c in (*names, y))).alias("x"))
+    source = source.withColumn("label", F.to_json("key") if by else F.lit(""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            label = batch.column(0).dictionary_encode()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            codes = label.indices.to_numpy(zero_copy_only=False)
+            for k, name in enumerate(label.dictionary.to_pylist()):
+                own = x[codes == k]
+                sums[name] = sums.get(name, 0.0) + own.T @ own
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.ravel().tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["label", "cells"])
+
+    parts = source.select("label", "x").mapInArrow(run, "label string, cells array<double>")
+    # The cells of a task's groups are summed place by place; keys come back typed from the rows themselves.
+    cells = parts.select("label", F.posexplode("cells").alias("place", "v")).groupBy("label", "place").agg(F.sum("v").alias("v"))
+    keys = {r["label"]: r["key"] for r in source.groupBy("label").agg(F.first("key").alias("key")).collect()}
+    found: dict[str, np.ndarray] = {}
+    for r in cells.collect():
+        found.setdefault(r["label"], np.zeros(width * width))[r["place"]] = r["v"]
+    out = []
+    for label, flat in found.items():
+        m = flat.reshape(width, width)
+        out.append({"key": tuple(keys[label]) if by else (), "n": int(round(m[0, 0])), "xx": m[:-1, :-1], "xy": m[:-1, -1], "yy": float(m[-1, -1])})
+    return out
+
+
 def solve_ridge(e: dict, alpha: float, standardise: bool = True) -> np.ndarray:
     """Constant and weights in the columns' own units; the penalty acts on standardised columns, not on the constant."""
     n, xx, xy = e["n"], e["xx"], e["xy"]
@@ -183,11 +252,6 @@ def cross_fit_ridge(rows: DataFrame, columns: Sequence[str], y: str, group: str,
             errors.append(total_error)
         chosen[g] = choices[int(np.argmin(errors))]
         fits[g] = solve_ridge(train, chosen[g] * unit)
-    p = F.lit(None).cast("double")
-    if len(fits) <= 64:
-        for g, w in fits.items():
-            p = F.when(F.col(group) == g, linear_prediction(columns, w)).otherwise(p)
-        return rows.withColumn("p", p), chosen
     table = rows.sparkSession.createDataFrame([(g, [float(v) for v in w]) for g, w in fits.items()], f"{group} {dict(rows.dtypes)[group]}, _w array<double>")
     x = F.array(F.lit(1.0), *(F.col(c).cast("double") for c in columns))
     dot = F.aggregate(F.zip_with(x, F.col("_w"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
@@ -235,43 +299,94 @@ def residualise_within(rows: DataFrame, y: str, covariate: str, group: str) -> D
     return out.drop("_s", "_i", "_m", "_scale")
 
 
-def lda(rows: DataFrame, columns: Sequence[str], y: str, shrinkage: float = 0.1) -> np.ndarray:
-    """Constant and weights of the two-class discriminant with shrunken pooled covariance."""
+def class_scores(rows: DataFrame, columns: Sequence[str], y: str, shrinkage: float | str = 0.1) -> dict:
+    """By class, constant and weights of the linear discriminant with shrunken pooled covariance; any number of classes.
+
+    "auto" shrinks by Ledoit and Wolf's estimate from the fourth moments that the
+    pooled rows give (J. Multivariate Analysis, 2004).
+    """
     parts = {e["key"][0]: e for e in normal_equations(rows.withColumn("_zero", F.lit(0.0)), columns, "_zero", [y])}
-    if set(parts) != {0, 1}:
+    if len(parts) < 2:
         raise ValueError("both classes must be there")
     means = {k: e["xx"][0, 1:] / e["n"] for k, e in parts.items()}
-    n = sum(e["n"] for e in parts.values())
+    n, p = sum(e["n"] for e in parts.values()), len(columns)
     pooled = sum(e["xx"][1:, 1:] - e["n"] * np.outer(means[k], means[k]) for k, e in parts.items()) / n
-    s = (1 - shrinkage) * pooled + shrinkage * np.trace(pooled) / len(columns) * np.eye(len(columns))
-    w = np.linalg.solve(s, means[1] - means[0])
-    return np.r_[-w @ (means[0] + means[1]) / 2 + np.log(parts[1]["n"] / parts[0]["n"]), w]
+    if shrinkage == "auto":
+        centre = rows.sparkSession.createDataFrame([(k, *(float(v) for v in m)) for k, m in means.items()], f"{y} {dict(rows.dtypes)[y]}, " + ", ".join(f"_m{i} double" for i in range(p)))
+        square = sum((F.pow(F.col(c) - F.col(f"_m{i}"), 2) for i, c in enumerate(columns)), F.lit(0.0))
+        fourth = rows.join(F.broadcast(centre), y).agg(F.sum(F.pow(square, 2)).alias("s")).first()["s"] or 0.0
+        mu = np.trace(pooled) / p
+        spread = float(((pooled - mu * np.eye(p)) ** 2).sum())
+        noise = max((fourth / n - float((pooled**2).sum())) / n, 0.0)
+        shrinkage = 0.0 if spread == 0 else min(1.0, noise / spread)
+    s = (1 - shrinkage) * pooled + shrinkage * np.trace(pooled) / p * np.eye(p)
+    inverse = np.linalg.pinv(s)
+    return {k: np.r_[-m @ inverse @ m / 2 + np.log(parts[k]["n"] / n), inverse @ m] for k, m in means.items()}
+
+
+def lda(rows: DataFrame, columns: Sequence[str], y: str, shrinkage: float | str = 0.1) -> np.ndarray:
+    """Constant and weights of the two-class discriminant: class 1 against class 0."""
+    scores = class_scores(rows, columns, y, shrinkage)
+    if set(scores) != {0, 1}:
+        raise ValueError("both classes must be there")
+    return scores[1] - scores[0]
+
+
+def lda_label(columns: Sequence[str], scores: dict) -> Column:
+    """The class of the greatest discriminant, the smaller on a tie."""
+    names = sorted(scores)
+    values = [linear_prediction(columns, scores[k]) for k in names]
+    top = F.greatest(*values) if len(values) > 1 else values[0]
+    return F.coalesce(*(F.when(v == top, F.lit(k)) for k, v in zip(names, values)))
 
 
 # pyspark.ml ---------------------------------------------------------------------------
 
 
+def _tree(params: dict) -> dict:
+    """Sizes of trees in Spark ML's terms: a leaf count bounds the depth, a least split is two least leaves, no depth is the deepest that there is."""
+    depth = params.get("max_depth", 5)
+    if "max_leaf_nodes" in params:
+        depth = max(1, int(np.ceil(np.log2(params["max_leaf_nodes"]))))
+    leaf = max(params.get("min_samples_leaf", 1), -(-params.get("min_samples_split", 2) // 2))
+    return {"maxDepth": 30 if depth is None else depth, "minInstancesPerNode": leaf}
+
+
 def regressor(kind: str, seed: int = 42, **params):
-    """An estimator of pyspark.ml by name: elasticnet, random_forest, gradient_boosting."""
+    """An estimator of pyspark.ml by name: elasticnet, random_forest, gradient_boosting, svr.
+
+    svr has Huber's loss on random Fourier features (kernels.FourierFeatures), as
+    Spark has no epsilon-insensitive loss. l2_regularization has no counterpart in
+    Spark's boosting and is not used.
+    """
     if kind == "elasticnet":
         return LinearRegression(labelCol="y", predictionCol="p", elasticNetParam=params.get("l1_ratio", 0.5), regParam=params.get("alpha", 0.1), maxIter=params.get("max_iter", 100), tol=params.get("tol", 1e-6))
     if kind == "random_forest":
-        return RandomForestRegressor(labelCol="y", predictionCol="p", numTrees=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 5), seed=seed)
+        return RandomForestRegressor(labelCol="y", predictionCol="p", numTrees=params.get("n_estimators", 100), seed=seed, **_tree(params))
     if kind == "gradient_boosting":
-        return GBTRegressor(labelCol="y", predictionCol="p", maxIter=params.get("max_iter", 20), maxDepth=params.get("max_depth", 3), stepSize=params.get("learning_rate", 0.1), seed=seed)
+        return GBTRegressor(labelCol="y", predictionCol="p", maxIter=params.get("max_iter", 20), stepSize=params.get("learning_rate", 0.1), seed=seed, **_tree({"max_depth": 3} | params))
+    if kind == "svr":
+        lift = FourierFeatures(params.get("gamma", "scale"), params.get("components", 200), seed)
+        return Pipeline(stages=[lift, LinearRegression(featuresCol="lifted", labelCol="y", predictionCol="p", loss="huber", standardization=False, epsilon=1.0 + params.get("epsilon", 0.1), regParam=1.0 / params.get("C", 1.0) / params.get("n", 100.0), maxIter=params.get("max_iter", 100))])
     raise ValueError(f"unknown regressor {kind!r}")
 
 
 def classifier(kind: str, seed: int = 42, **params):
-    """logistic, svm (linear), random_forest, gradient_boosting; weights from the column weight."""
+    """logistic, svm, random_forest, gradient_boosting; weights from the column weight.
+
+    With a gamma, svm is a margin on random Fourier features of its radial kernel; else it is linear.
+    """
     if kind == "logistic":
         return LogisticRegression(labelCol="y", predictionCol="p", weightCol="weight", elasticNetParam=params.get("l1_ratio", 0.0), regParam=1.0 / params.get("C", 1.0) / params.get("n", 1.0), maxIter=params.get("max_iter", 100))
     if kind == "svm":
-        return LinearSVC(labelCol="y", predictionCol="p", weightCol="weight", regParam=params.get("reg", 0.01), maxIter=params.get("max_iter", 50))
+        margin = LinearSVC(labelCol="y", predictionCol="p", weightCol="weight", regParam=params.get("reg", 0.01) / params.get("C", 1.0), maxIter=params.get("max_iter", 50))
+        if "gamma" not in params:
+            return margin
+        return Pipeline(stages=[FourierFeatures(params["gamma"], params.get("components", 200), seed), margin.setFeaturesCol("lifted").setStandardization(False)])
     if kind == "random_forest":
-        return RandomForestClassifier(labelCol="y", predictionCol="p", weightCol="weight", numTrees=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 5), seed=seed)
+        return RandomForestClassifier(labelCol="y", predictionCol="p", weightCol="weight", numTrees=params.get("n_estimators", 100), seed=seed, **_tree(params))
     if kind == "gradient_boosting":
-        return GBTClassifier(labelCol="y", predictionCol="p", weightCol="weight", maxIter=params.get("max_iter", 20), maxDepth=params.get("max_depth", 3), seed=seed)
+        return GBTClassifier(labelCol="y", predictionCol="p", weightCol="weight", maxIter=params.get("max_iter", 20), seed=seed, **_tree({"max_depth": 3} | params))
     raise ValueError(f"unknown classifier {kind!r}")
 
 
@@ -283,11 +398,22 @@ def balanced_weights(rows: DataFrame, y: str = "y") -> DataFrame:
 
 
 def undersample(rows: DataFrame, key: str, y: str = "y", seed: int = 42) -> DataFrame:
-    """As many rows of each class as of the smallest, about: those of least hash, by the classes' shares."""
+    """As many rows of each class as of the smallest: those of least hash, then least key.
+
+    The hash at which a class has enough rows is found by counting hashes, so that
+    no task sorts a class.
+    """
+    h = F.xxhash64(F.lit(seed), F.col(key))
     sizes = rows.groupBy(y).agg(F.count("*").alias("_k"))
-    least = sizes.agg(F.min("_k").alias("_m"))
-    share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
-    return rows.join(F.broadcast(sizes), y).join(F.broadcast(least)).where(share < F.col("_m") / F.col("_k")).drop("_k", "_m")
+    least = sizes.agg(F.min("_k")).first()[0] or 0
+    # A hash of 64 bits is a row's own but for repeated keys, of which whole groups are kept or left; those are ordered by place.
+    placed = rows.withColumns({"_h": h, "_bucket": F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 52)})
+    counts = placed.groupBy(y, "_bucket").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(y).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("_upto", F.sum("_c").over(w)).withColumn("_before", F.col("_upto") - F.col("_c"))
+    out = placed.join(upto.where(F.col("_before") < least), [y, "_bucket"])
+    rank = F.row_number().over(Window.partitionBy(y, "_bucket").orderBy("_h", key))
+    return out.withColumn("_rank", F.when(F.col("_upto") > least, rank).otherwise(0)).where(F.col("_rank") <= least - F.col("_before")).drop("_h", "_bucket", "_c", "_upto", "_before", "_rank").select(*rows.columns)
 
 
 def cross_fit(rows: DataFrame, folds: Sequence, fold: str, make: Callable[[], list], columns: Sequence[str], prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
@@ -309,6 +435,15 @@ def vote(members: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.mode("p", True).alias("p"))
 
 
+def soft_vote(members: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+    """Mean of members' probabilities, and the label that it says."""
+    rows = None
+    for m in members:
+        one = m.select(*key, F.col("probability").cast("double").alias("q"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy(*key).agg(F.avg("q").alias("probability")).withColumn("p", (F.col("probability") >= 0.5).cast("int"))
+
+
 def shap_linear(rows: DataFrame, columns: Sequence[str], w: Sequence[float]) -> DataFrame:
     """(feature, importance): mean |weight times the distance from the mean| of a linear model."""
     means = rows.agg(*(F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)))

@@ -23,6 +23,15 @@ def draw_number(*parts: Column, seed: int, modulus: int = 2147483648) -> Column:
     return F.pmod(x.bitwiseXOR(F.shiftright(x, 15)), F.lit(modulus))
 
 
+def draw_numbers(draw: int, units: np.ndarray, seed: int) -> np.ndarray:
+    """draw_number of one draw and many units, on arrays."""
+    x = np.full(len(units), seed * 69069 + 1, dtype=np.int64)
+    for part in (np.full(len(units), draw, dtype=np.int64), units.astype(np.int64)):
+        x = (x * 1103515245 + part * 40692 + 12345) % 2147483648
+        x = ((x ^ (x >> 13)) * 69069 + 7) % 2147483648
+    return (x ^ (x >> 15)) % 2147483648
+
+
 def bootstrap_mean_ci(values: DataFrame, value: str = "value", iterations: int = 1000, seed: int = 42) -> DataFrame:
     """One row: mean, ci_low, ci_high of a percentile bootstrap over the (numbered) values.
 
@@ -93,13 +102,78 @@ def split_conformal(calibration: DataFrame, test: DataFrame, alpha: float = 0.1,
     return out.withColumns({"lower": F.col("p") - F.col("quantile"), "upper": F.col("p") + F.col("quantile")}).drop("quantile")
 
 
+#: Distinct residuals whose sorted values and counts are sent to the tasks, in 64 MB at most.
+MOST_RESIDUALS = 4_000_000
+
+
 def cv_plus(test_predictions: DataFrame, residuals: DataFrame, alpha: float = 0.1, key: str = "row") -> DataFrame:
     """(key, lower, upper): order statistics of the folds' predictions minus and plus their residuals.
 
-    test_predictions: key, fold, p. residuals: fold, r. A fold's residuals are
-    sorted once and kept as one array: their number is that of a training set's
-    rows, which one interval reads whole.
+    test_predictions: key, fold, p. residuals: fold, r. The folds' distinct
+    residuals are counted and sorted once; a row's ends are found by halving and
+    counting in each fold, so no row meets all residuals. Beyond MOST_RESIDUALS
+    distinct ones they are joined to the rows as arrays.
     """
+    counts = residuals.groupBy("fold", "r").agg(F.count("*").alias("k"))
+    if counts.count() > MOST_RESIDUALS:
+        return _cv_plus_joined(test_predictions, residuals, alpha, key)
+    table = counts.orderBy("fold", "r").toArrow()
+    names, at, k = (table[c].to_numpy() for c in ("fold", "r", "k"))
+    folds = {f: (at[names == f].astype(float), np.cumsum(k[names == f])) for f in np.unique(names).tolist()}
+    kept = test_predictions.sparkSession.sparkContext.broadcast(folds)
+
+    def ends(rows: pd.DataFrame) -> pd.DataFrame:
+        both = rows.explode("cells", ignore_index=False)
+        place = both.index.to_numpy()
+        fold, p = (np.array([c[x] for c in both["cells"]]) for x in ("fold", "p"))
+        n = np.zeros(len(rows))
+        own = [(kept.value[f], fold == f) for f in np.unique(fold).tolist() if f in kept.value]
+        for (_, upto), of in own:
+            np.add.at(n, place[of], upto[-1])
+        out = []
+        # The k-th smallest of p + s r; for s = -1 the residuals run backwards.
+        for s, rank in ((-1.0, np.floor(alpha * (n + 1) + 1e-9)), (1.0, np.ceil((1 - alpha) * (n + 1) - 1e-9))):
+            sides = []
+            for (r, upto), of in own:
+                v = r if s > 0 else -r[::-1]
+                c = upto if s > 0 else upto[-1] - np.r_[0, upto[:-1]][::-1]
+                sides.append((v, np.r_[0, c], of))
+            lo = np.full(len(rows), np.inf)
+            hi = np.full(len(rows), -np.inf)
+            for v, _, of in sides:
+                np.minimum.at(lo, place[of], p[of] + v[0])
+                np.maximum.at(hi, place[of], p[of] + v[-1])
+            lo = lo - 1.0
+            for _ in range(100):
+                mid = lo + (hi - lo) / 2
+                seen = np.zeros(len(rows))
+                for v, c, of in sides:
+                    np.add.at(seen, place[of], c[np.searchsorted(v, mid[place[of]] - p[of], side="right")])
+                enough = seen >= rank
+                lo, hi = np.where(enough, lo, mid), np.where(enough, mid, hi)
+            # The end itself: the sum nearest to where the halving stopped.
+            near, gap = hi.copy(), np.full(len(rows), np.inf)
+            for v, _, of in sides:
+                i = np.searchsorted(v, hi[place[of]] - p[of])
+                for j in (-1, 0, 1):
+                    value = p[of] + v[np.clip(i + j, 0, len(v) - 1)]
+                    d = np.abs(value - hi[place[of]])
+                    for q, x, y in zip(place[of].tolist(), value.tolist(), d.tolist()):
+                        if y < gap[q]:
+                            near[q], gap[q] = x, y
+            out.append(np.where(rank < 1, -np.inf, np.where(rank > n, np.inf, near)))
+        return pd.DataFrame({key: rows[key], "lower": out[0], "upper": out[1]})
+
+    def run(batches):
+        for rows in batches:
+            if len(rows):
+                yield ends(rows.reset_index(drop=True))
+
+    cells = test_predictions.groupBy(key).agg(F.collect_list(F.struct("fold", F.col("p").cast("double").alias("p"))).alias("cells"))
+    return cells.mapInPandas(run, f"`{key}` {dict(test_predictions.dtypes)[key]}, lower double, upper double")
+
+
+def _cv_plus_joined(test_predictions: DataFrame, residuals: DataFrame, alpha: float, key: str) -> DataFrame:
     arrays = residuals.groupBy("fold").agg(F.collect_list("r").alias("rs"))
     both = test_predictions.join(arrays, "fold")
     cells = both.select(key, F.transform("rs", lambda r: F.col("p") - r).alias("lo"), F.transform("rs", lambda r: F.col("p") + r).alias("hi"))
@@ -179,6 +253,39 @@ def importance_by(importance: DataFrame, meta: DataFrame, field: str, validate:
     return rows.groupBy(field).agg(F.sum("importance").alias("importance"))
 
 
+def importance_over_folds(rows: DataFrame, features: Sequence[str], fold: str, fit, score, order: str, repeats: int = 10, seed: int = 42, least: float = 0.5) -> DataFrame:
+    """(feature, importance, n_folds): mean drop of a score when a column of a fold's held-out rows is rearranged, for any model.
+
+    fit(train) gives a function from rows to rows with p; score(rows) an aggregate
+    of y and p. A feature that under `least` of the folds can judge has no importance.
+    """
+    folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
+    out = None
+    for k in folds:
+        held, predict = rows.where(F.col(fold) == k), fit(rows.where(F.col(fold) != k))
+        base, blocks = predict(held).agg(score.alias("base")), max(1, held.count() // BLOCK_ROWS)
+        for f in features:
+            for i in range(repeats):
+                moved = block_permutation(held.withColumn("_block", F.pmod(F.xxhash64(F.lit(i), F.col(order)), F.lit(blocks))), ["_block"], order, f, i, seed).drop("_block")
+                one = predict(moved.drop(f).withColumnRenamed("permuted", f)).agg(score.alias("s")).join(base).select(F.lit(f).alias("feature"), F.lit(str(k)).alias("fold"), (F.col("base") - F.col("s")).alias("drop"))
+                out = one if out is None else out.unionByName(one)
+    own = out.groupBy("feature", "fold").agg(F.avg("drop").alias("drop"))
+    return own.groupBy("feature").agg(F.when(F.count("drop") >= least * len(folds), F.avg("drop")).alias("importance"), F.count("drop").alias("n_folds"))
+
+
+def shap_over_folds(rows: DataFrame, columns: Sequence[str], fold: str, weights, least: float = 0.5) -> DataFrame:
+    """(feature, importance, n_folds): mean over folds of a linear model's attributions on held-out rows; weights(train) gives constant and weights."""
+    from traceloom.model.estimators import shap_linear
+
+    folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
+    out = None
+    for k in folds:
+        w = weights(rows.where(F.col(fold) != k))
+        one = shap_linear(rows.where(F.col(fold) == k), columns, w[1:])
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("feature").agg(F.when(F.count("importance") >= least * len(folds), F.avg("importance")).alias("importance"), F.count("importance").alias("n_folds"))
+
+
 #: Rows of a block within which a column is rearranged.
 BLOCK_ROWS = 100_000
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.functions.numeric import is_finite
+
 
 def loso_folds(rows: DataFrame, key: Sequence[str], group: str = "subject") -> DataFrame:
     """Leave one group out: (fold, key, role); folds number the sorted groups from 1.
@@ -49,12 +54,12 @@ def forward_folds(rows: DataFrame, key: Sequence[str], subject: str = "subject",
 
 
 def balanced_folds(rows: DataFrame, group: str, n_splits: int) -> DataFrame:
-    """(group, fold): whole groups dealt to folds, the largest first, each to the smallest fold so far.
+    """(group, fold): whole groups dealt to folds, the largest first, of equal ones the last label, each to the smallest fold so far.
 
     The groups' sizes are aggregated; only they, a row for each group, are dealt
     on the driver.
     """
-    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group).collect()
+    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), F.desc(group)).collect()
     if len(sizes) < n_splits:
         raise ValueError(f"{len(sizes)} groups cannot make {n_splits} folds")
     load, dealt = [0] * n_splits, []
@@ -79,10 +84,101 @@ def within_subject_folds(rows: DataFrame, key: Sequence[str], subject: str = "su
     return both.select("fold", subject, *[k for k in key if k != subject], F.when(F.col("_own") == F.col("_test"), "test").otherwise("train").alias("role"))
 
 
+@dataclass(frozen=True)
+class InnerSplit:
+    """How a training fold is split again: by subjects or runs, with equal shares of classes or not."""
+
+    grouping: str = "subject"
+    stratified: bool = False
+    n_splits: int = 5
+
+    def __post_init__(self) -> None:
+        if self.grouping not in ("subject", "run"):
+            raise ValueError(f"unknown grouping {self.grouping!r}")
+        if self.n_splits < 2:
+            raise ValueError("two splits are needed at least")
+
+
+def stratified_folds(rows: DataFrame, group: str, y: str, n_splits: int, seed: int = 42) -> DataFrame:
+    """(group, fold): whole groups dealt so that every fold gets near equal shares of each class.
+
+    Groups whose classes are most uneven come first, equal ones in hashed order;
+    each goes to the fold where the classes' shares then spread least over folds.
+    Only counts by group and class reach the driver.
+    """
+    counts = rows.groupBy(group, y).agg(F.count("*").alias("n")).collect()
+    classes = sorted({r[y] for r in counts})
+    table: dict = {}
+    for r in counts:
+        table.setdefault(r[group], np.zeros(len(classes)))[classes.index(r[y])] += r["n"]
+    total = sum(table.values())
+    if len(classes) < 2:
+        raise ValueError("two classes are needed at least")
+    if total.min() < n_splits:
+        raise ValueError(f"class {classes[int(total.argmin())]} has {int(total.min())} rows for {n_splits} splits")
+    load, dealt = np.zeros((n_splits, len(classes))), []
+    for g in sorted(table, key=lambda g: (-table[g].std(), zlib.crc32(f"{seed} {g}".encode()))):
+        spread = []
+        for k in range(n_splits):
+            load[k] += table[g]
+            spread.append(((load / total).std(axis=0).mean(), load[k].sum(), k))
+            load[k] -= table[g]
+        k = min(spread)[2]
+        load[k] += table[g]
+        dealt.append((g, k + 1))
+    return rows.sparkSession.createDataFrame(dealt, f"{group} {dict(rows.dtypes)[group]}, fold int")
+
+
+def inner_cv(train: DataFrame, split: InnerSplit, group: str, y: str | None = None, seed: int = 42) -> DataFrame:
+    """(group, fold) of the inner splits of one training fold; the count is capped at that of the groups."""
+    groups = train.select(group).distinct().count()
+    if split.grouping == "subject" and groups == 1:
+        raise ValueError("a fold within one subject has no subjects to split by")
+    n = split_count(groups, split.n_splits)
+    if not split.stratified:
+        return balanced_folds(train, group, n)
+    if y is None:
+        raise ValueError("a stratified split needs labels")
+    return stratified_folds(train, group, y, n, seed)
+
+
+def run_aware_cv(rows: DataFrame, run: str = "run", n_splits: int | None = None, default: int = 5) -> tuple[DataFrame | None, int]:
+    """(run, fold) that keeps runs whole, and the number of folds; none of either with under two runs."""
+    if not rows.where(F.col(run).isNull()).isEmpty():
+        raise ValueError("each row needs a run")
+    runs = rows.select(run).distinct().count()
+    if runs < 2:
+        return None, 0
+    n = min(n_splits or default, runs)
+    return balanced_folds(rows, run, n), n
+
+
+def run_aware_inner_cv(train: DataFrame, n_splits: int, key: Sequence[str], run: str = "run") -> DataFrame | None:
+    """(fold, key, role) of the run-disjoint splits of one training fold; None with under two runs."""
+    dealt, n = run_aware_cv(train, run, n_splits)
+    if dealt is None:
+        return None
+    own = train.join(dealt.withColumnRenamed("fold", "_own"), run).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return own.select("fold", *key, F.when(F.col("_own") == F.col("fold"), "test").otherwise("train").alias("role"))
+
+
+def find_run_column(events: DataFrame) -> DataFrame | None:
+    """events with the column run as numbers: as they are if all that are there are numbers, else parsed from labels; None without the column.
+
+    Labels that no number can be parsed from are null, as is a column of which none can.
+    """
+    if "run" not in events.columns:
+        return None
+    number = F.expr("try_cast(run as double)")
+    bad = events.where(F.col("run").isNotNull() & ~is_finite(number)).isEmpty()
+    return events.withColumn("run", number if bad else run_number(F.col("run")).cast("double"))
+
+
 def split_count(n_groups: int, default: int = 5) -> int:
+    """Inner splits for a number of groups: the default, at most the groups, two at least."""
     if n_groups < 2:
         raise ValueError("at least two groups are needed")
-    return min(default, n_groups)
+    return max(2, min(default, n_groups))
 
 
 def run_number(label: Column) -> Column:

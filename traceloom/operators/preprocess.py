@@ -124,8 +124,13 @@ def detrend_epochs(traces: DataFrame, method: str = "linear") -> DataFrame:
 def reference_epochs(traces: DataFrame, reference: Sequence[str] | None = None) -> DataFrame:
     """x less the mean over all channels, or over the reference channels, at each sample."""
     own = traces if reference is None else traces.where(F.col("channel").isin(list(reference)))
-    cells = own.select(*KEYS, F.posexplode(array_blank("x")).alias("i", "v"))
-    means = cells.groupBy(*KEYS, "i").agg(F.avg("v").alias("m")).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_m"))
+    # An epoch's channels are collected as arrays, one row for each of them: samples are not shuffled one by one.
+    held = own.groupBy(*KEYS).agg(F.collect_list(F.struct("channel", array_blank("x").alias("x"))).alias("_c"))
+    held = pinned(held, _xs=F.transform(F.array_sort("_c"), lambda c: c["x"])).drop("_c")
+    at = lambda i: F.filter(F.transform("_xs", lambda x: F.get(x, i)), lambda v: v.isNotNull())
+    longest = F.aggregate("_xs", F.lit(0), lambda a, x: F.greatest(a, F.size(x)))
+    mean = F.transform(F.filter(F.sequence(F.lit(0), longest), lambda i: i < longest), lambda i: F.try_divide(F.aggregate(at(i), F.lit(0.0), lambda a, v: a + v), F.size(at(i)).cast("double")))
+    means = pinned(held, _m=mean).drop("_xs")
     return traces.join(means, list(KEYS)).withColumn("x", F.zip_with("x", "_m", lambda a, b: a - b)).drop("_m")
 
 
@@ -152,9 +157,11 @@ def interpolate_channels(traces: DataFrame, weights: Sequence[tuple[str, str, fl
     w = traces.sparkSession.createDataFrame(list(weights), "bad string, channel string, w double")
     bad = sorted({b for b, _, _ in weights})
     rest = [c for c in traces.columns if c not in (*KEYS, "channel", "x")]
-    cells = traces.join(F.broadcast(w), "channel").select(*KEYS, *rest, "bad", "w", F.posexplode("x").alias("i", "v"))
-    sums = cells.groupBy(*KEYS, *rest, "bad", "i").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    made = sums.groupBy(*KEYS, *rest, "bad").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("x")).withColumnRenamed("bad", "channel")
+    held = traces.join(F.broadcast(w), "channel").groupBy(*KEYS, *rest, "bad").agg(F.array_sort(F.collect_list(F.struct("channel", "w", "x"))).alias("_c"))
+    longest = F.aggregate("_c", F.lit(0), lambda a, c: F.greatest(a, F.size(c["x"])))
+    at = lambda i: F.filter(F.transform("_c", lambda c: c["w"] * F.get(c["x"], i)), lambda v: v.isNotNull())
+    total = F.transform(F.filter(F.sequence(F.lit(0), longest), lambda i: i < longest), lambda i: F.when(F.size(at(i)) > 0, F.aggregate(at(i), F.lit(0.0), lambda a, v: a + v)))
+    made = pinned(held, x=total).drop("_c").withColumnRenamed("bad", "channel")
     return traces.where(~F.col("channel").isin(bad)).unionByName(made)
 
 

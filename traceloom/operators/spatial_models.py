@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.numeric import divide
+from traceloom.sources.scratch import cut
 
 KEYS = ("recording", "epoch", "event")
 
@@ -79,12 +80,26 @@ def smooth_segments(labelled: DataFrame, least: int) -> DataFrame:
     return labelled.withColumn("states", run("states"))
 
 
-def fit_microstates(epochs: DataFrame, n_states: int = 4, peaks_per_epoch: int = 400, max_peaks: int = 20_000, starts: int = 20, seed: int = 42) -> tuple[np.ndarray, float]:
-    """Templates by polarity-blind modified k-means on maps at peaks of global field power, and the variance explained.
+def _summed(rows: DataFrame, column: str, width: int, make) -> np.ndarray:
+    """Sum over all rows' arrays of make(matrix of a batch), a vector: one such vector leaves each task."""
 
-    Peaks leave the executors as rows, at most max_peaks of them, those of least
-    hash; the fit of that bounded sample runs on the driver.
-    """
+    def run(batches):
+        total = None
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            if len(x):
+                total = make(x) if total is None else total + make(x)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "v"])
+
+    table = rows.select(column).mapInArrow(run, "place bigint, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(table.num_rows)
+    out[table["place"].to_numpy()] = table["v"].to_numpy()
+    return out
+
+
+def gfp_peaks(epochs: DataFrame, peaks_per_epoch: int = 400) -> DataFrame:
+    """(map): channel maps at peaks of global field power, of an epoch the highest ones."""
 
     def peaks(batches):
         for pdf in batches:
@@ -98,36 +113,68 @@ def fit_microstates(epochs: DataFrame, n_states: int = 4, peaks_per_epoch: int =
                 out += [row.tolist() for row in x[:, top].T]
             yield pd.DataFrame({"map": out})
 
-    maps = epochs.select("m").mapInPandas(peaks, "map array<double>").orderBy(F.xxhash64("map")).limit(max_peaks)
-    x = np.array([r["map"] for r in maps.collect()], dtype=float)
-    if len(x) < n_states:
+    return epochs.select("m").mapInPandas(peaks, "map array<double>")
+
+
+def fit_microstates(epochs: DataFrame, n_states: int = 4, peaks_per_epoch: int = 400, starts: int = 20, seed: int = 42, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Templates by polarity-blind modified k-means on maps at peaks of global field power, and the variance explained.
+
+    All peaks count: each round, every task sums its maps' products by start and
+    state, and the driver solves systems of the size of the channels. A start is
+    settled when it explains no more than the round before.
+    """
+    maps = cut(gfp_peaks(epochs, peaks_per_epoch), "peaks")
+    # The first maps of all starts: those of least hash, without replacement.
+    first = np.array([r["map"] for r in maps.orderBy(F.xxhash64("map", F.lit(seed)), "map").limit(n_states * starts).collect()], dtype=float)
+    if len(first) < n_states:
         raise ValueError("fewer peaks than states")
-    rng, best = np.random.default_rng(seed), (None, -1.0)
-    total = (x**2).sum()
-    for _ in range(starts):
-        t = x[rng.choice(len(x), n_states, replace=False)]
-        t = t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)
-        last = None
-        for _ in range(100):
-            score = (x @ t.T) ** 2
-            own = score.argmax(axis=1)
-            if last is not None and (own == last).all():
-                break
-            last = own
-            for k in range(n_states):
-                part = x[own == k]
-                if len(part):
-                    t[k] = np.linalg.eigh(part.T @ part)[1][:, -1]
-        explained = float(((x @ t.T) ** 2).max(axis=1).sum() / total)
-        if explained > best[1]:
-            best = (t.copy(), explained)
-    return best
+    starts, c = max(1, len(first) // n_states), first.shape[1]
+    t = first[: starts * n_states].reshape(starts, n_states, c)
+    t = t / np.maximum(np.linalg.norm(t, axis=2, keepdims=True), 1e-12)
+    best, live, explained = t.copy(), np.arange(starts), np.full(starts, -1.0)
+    for _ in range(rounds):
+        own = t[live]
+
+        def step(x, own=own):
+            sums, hit = np.zeros((len(own), n_states, c, c)), np.zeros(len(own))
+            for s, one in enumerate(own):
+                score = (x @ one.T) ** 2
+                of = score.argmax(axis=1)
+                hit[s] = score.max(axis=1).sum()
+                for k in range(n_states):
+                    part = x[of == k]
+                    sums[s, k] = part.T @ part
+            return np.r_[sums.ravel(), hit, (x**2).sum()]
+
+        found = _summed(maps, "map", c, step)
+        now = found[-1 - len(live) : -1] / found[-1]
+        sums = found[: -1 - len(live)].reshape(len(live), n_states, c, c)
+        better = now > explained[live] + 1e-12
+        best[live[better]], explained[live[better]] = own[better], now[better]
+        for s, k in np.ndindex(len(live), n_states):
+            if better[s] and sums[s, k].any():
+                t[live[s], k] = np.linalg.eigh(sums[s, k])[1][:, -1]
+        live = live[better]
+        if not len(live):
+            break
+    top = int(explained.argmax())
+    return best[top], float(explained[top])
 
 
 def match_reference(templates: np.ndarray, reference: np.ndarray) -> list[int]:
-    """Order of templates of the greatest total |correlation| with the reference maps."""
+    """Order of templates of the greatest total |correlation| with the reference maps, by a programme over sets of templates."""
     c = np.abs(np.corrcoef(templates, reference)[: len(templates), len(templates) :])
-    return list(max(permutations(range(len(templates)), len(reference)), key=lambda p: sum(c[i, j] for j, i in enumerate(p))))
+    states: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    for j in range(len(reference)):
+        after: dict[int, tuple[float, tuple[int, ...]]] = {}
+        for used, (value, order) in states.items():
+            for i in range(len(templates)):
+                if not used >> i & 1:
+                    new = (value + c[i, j], (*order, i))
+                    if used | 1 << i not in after or new[0] > after[used | 1 << i][0]:
+                        after[used | 1 << i] = new
+        states = after
+    return list(max(states.values())[1])
 
 
 def state_runs(labelled: DataFrame) -> DataFrame:
@@ -166,8 +213,14 @@ def microstate_transitions(labelled: DataFrame) -> DataFrame:
 # Common spatial patterns -----------------------------------------------------------------
 
 
+#: Channels beyond which an epoch's products are one matrix product and no longer an expression for each pair.
+WIDE = 12
+
+
 def class_covariances(epochs: DataFrame, label: str, n_channels: int) -> dict:
     """Mean over epochs of trace-normalised channel covariances, by class: C x C sums leave the executors."""
+    if n_channels > WIDE:
+        return _wide_covariances(epochs, label, n_channels)
     pairs = [(i, j) for i in range(n_channels) for j in range(i, n_channels)]
     dot = lambda i, j: F.aggregate(F.zip_with(F.col("m")[i], F.col("m")[j], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     rows = epochs.select(label, *(dot(i, j).alias(f"c{i}_{j}") for i, j in pairs))
@@ -182,10 +235,32 @@ def class_covariances(epochs: DataFrame, label: str, n_channels: int) -> dict:
     return out
 
 
+def _wide_covariances(epochs: DataFrame, label: str, n_channels: int) -> dict:
+    def run(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for k, m in zip(pdf["label"], pdf["m"]):
+                x = np.stack([np.asarray(c, dtype=float) for c in m])
+                c = x @ x.T
+                if np.trace(c):
+                    n, s = sums.get(k, (0, 0.0))
+                    sums[k] = n + 1, s + c / np.trace(c)
+        yield pd.DataFrame([(k, n, i, v) for k, (n, s) in sums.items() for i, v in enumerate(s.ravel().tolist())], columns=["label", "n", "place", "v"])
+
+    kind = dict(epochs.dtypes)[label]
+    parts = epochs.select(F.col(label).alias("label"), "m").mapInPandas(run, f"label {kind}, n bigint, place int, v double")
+    out: dict = {}
+    for r in parts.groupBy("label", "place").agg((F.sum("v") / F.sum("n")).alias("v")).collect():
+        out.setdefault(r["label"], np.zeros(n_channels * n_channels))[r["place"]] = r["v"]
+    return {k: v.reshape(n_channels, n_channels) for k, v in out.items()}
+
+
 def csp_filters(covariances: dict, n_components: int = 4, regularization: float = 0.0) -> np.ndarray:
     """Filters from both ends of the generalised spectrum of two classes' covariances, in their joint range."""
-    if len(covariances) != 2:
-        raise ValueError("two classes are needed")
+    if len(covariances) < 2:
+        raise ValueError("two classes are needed at least")
+    if len(covariances) > 2:
+        return _many_class_filters(covariances, n_components, regularization)
     a, b = (covariances[k] for k in sorted(covariances))
     if regularization:
         a, b = ((1 - regularization) * c + regularization * np.trace(c) / len(c) * np.eye(len(c)) for c in (a, b))
@@ -200,6 +275,39 @@ def csp_filters(covariances: dict, n_components: int = 4, regularization: float
     return w[ordered]
 
 
+def _many_class_filters(covariances: dict, n_components: int, regularization: float, rounds: int = 200) -> np.ndarray:
+    """Filters of several classes: the joint approximate diagonalisation of their whitened covariances by rotations
+    (Cardoso and Souloumiac, 1996), ordered by how far a component's power spreads over the classes."""
+    cs = [covariances[k] for k in sorted(covariances)]
+    if regularization:
+        cs = [(1 - regularization) * c + regularization * np.trace(c) / len(c) * np.eye(len(c)) for c in cs]
+    values, vectors = np.linalg.eigh(sum(cs))
+    live = values > values.max() * 1e-10
+    white = vectors[:, live] / np.sqrt(values[live])
+    m = np.stack([white.T @ c @ white for c in cs])
+    n = m.shape[1]
+    turn = np.eye(n)
+    for _ in range(rounds):
+        moved = 0.0
+        for i in range(n - 1):
+            for j in range(i + 1, n):
+                h = np.stack([m[:, i, i] - m[:, j, j], 2 * m[:, i, j]])
+                g = h @ h.T
+                angle = 0.5 * np.arctan2(2 * g[0, 1], g[0, 0] - g[1, 1] + np.hypot(g[0, 0] - g[1, 1], 2 * g[0, 1]))
+                if abs(angle) < 1e-10:
+                    continue
+                moved = max(moved, abs(angle))
+                c, s = np.cos(angle), np.sin(angle)
+                r = np.eye(n)
+                r[[i, j], [i, j]], r[i, j], r[j, i] = c, -s, s
+                m, turn = r.T @ m @ r, turn @ r
+        if moved < 1e-8:
+            break
+    power = np.stack([x.diagonal() for x in m])
+    spread = (power / power.sum(axis=0)).std(axis=0)
+    return (white @ turn).T[np.argsort(-spread, kind="stable")[:n_components]]
+
+
 def csp_features(epochs: DataFrame, filters: np.ndarray) -> DataFrame:
     """epochs with csp: log of each component's share of the filtered variance."""
 
@@ -243,17 +351,27 @@ def _power(c: np.ndarray, f) -> np.ndarray:
     return (u * f(np.maximum(v, 1e-12))) @ u.T
 
 
-def tangent_features(epochs: DataFrame, n_channels: int, rounds: int = 30, max_rows: int = 10_000) -> DataFrame:
-    """epochs with tangent: logs of covariances at the Riemannian mean of at most max_rows of them (least hash)."""
-    rows = epochs.orderBy(F.xxhash64("cov")).limit(max_rows).select("cov").collect()
-    c = np.array([r["cov"] for r in rows]).reshape(-1, n_channels, n_channels)
-    mean = c.mean(axis=0)
+def riemannian_mean(epochs: DataFrame, n_channels: int, rounds: int = 30) -> np.ndarray:
+    """Geometric mean of all rows' covariances (column cov): each round, the tasks sum logs at the mean so far."""
+    total = _summed(epochs, "cov", n_channels**2, lambda x: np.r_[x.sum(axis=0), len(x)])
+    if not len(total):
+        raise ValueError("no covariances")
+    mean = (total[:-1] / total[-1]).reshape(n_channels, n_channels)
     for _ in range(rounds):
         half, back = _power(mean, np.sqrt), _power(mean, lambda v: 1 / np.sqrt(v))
-        step = np.mean([_power(back @ x @ back, np.log) for x in c], axis=0)
+        logs = lambda x, back=back: sum(_power(back @ c @ back, np.log) for c in x.reshape(-1, n_channels, n_channels)).ravel()
+        step = (_summed(epochs, "cov", n_channels**2, logs) / total[-1]).reshape(n_channels, n_channels)
         mean = half @ _power_exp(step) @ half
         if np.linalg.norm(step) < 1e-8:
             break
+    return mean
+
+
+def tangent_features(epochs: DataFrame, n_channels: int, rounds: int = 30, mean: np.ndarray | None = None) -> DataFrame:
+    """epochs with tangent: logs of covariances at the Riemannian mean of all of them, or at one that is given."""
+    if mean is None:
+        epochs = cut(epochs, "covariances")
+        mean = riemannian_mean(epochs, n_channels, rounds)
     back = _power(mean, lambda v: 1 / np.sqrt(v))
     upper = np.triu_indices(n_channels)
     weight = np.where(upper[0] == upper[1], 1.0, np.sqrt(2.0))

@@ -206,6 +206,11 @@ def log_log_fit(freqs: np.ndarray, p: np.ndarray, z: float = 2.5, rounds: int =
     return float(slope), float(offset), float(1 - (r @ r) / total) if total > 0 else nan
 
 
+def default_fit_range(band) -> tuple[float, float]:
+    """Range of a background fit for a band: from 2 to 40 Hz, wider where the band is."""
+    return min(2.0, float(band.fmin)), max(40.0, float(band.fmax))
+
+
 def aperiodic_fits(spectra: DataFrame, freqs: Sequence[float], fit_range: tuple[float, float] = (2.0, 40.0), z: float = 2.5, rounds: int = 3) -> DataFrame:
     """spectra with slope, offset and r_squared; the fit is done on Arrow batches, row by row of a batch."""
     f = np.asarray(freqs, dtype=float)

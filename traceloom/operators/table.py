@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.functions.numeric import blank, divide, is_finite
+from traceloom.functions.numeric import blank, divide, exact_quantiles, is_finite
 
 ROW = ("recording", "epoch", "event")
 META = ("measure", "band", "space", "space_kind", "window", "normalization", "unit", "source")
@@ -163,6 +163,21 @@ def build_design(
     return cells.join(side, list(keys), "inner")
 
 
+def build_group_design(cells: DataFrame, targets: DataFrame, target: str, groups: str = "subject_id", keys: Sequence[str] = ("recording", "group"), validate: bool = True) -> DataFrame:
+    """Cells of cross-trial measures with y and the subject of their recording, by an exact match of recording and group; no covariates."""
+    missing = {"recording", "group", "feature"} - set(cells.columns)
+    if missing:
+        raise ValueError(f"not a table of groups: {sorted(missing)} are missing")
+    side = targets.withColumnRenamed(groups, "_subject")
+    if validate:
+        guard_unique(targets, keys, "targets")
+        guard_unique(cells, [*keys, "feature"], "features")
+        guard_same_keys(cells, targets, keys)
+        if not targets.where(~is_finite(F.col(target).cast("double"))).isEmpty():
+            raise ValueError(f"{target} has missing values")
+    return cells.join(side.select(*keys, F.col(target).cast("double").alias("y"), F.col("_subject").alias(groups)), list(keys), "inner")
+
+
 def merge_targets(descriptors: DataFrame, external: DataFrame, keys: Sequence[str], validate: bool = True) -> DataFrame:
     """descriptors with the external columns, keys matching one to one and no column in both."""
     both = (set(descriptors.columns) & set(external.columns)) - set(keys)
@@ -193,7 +208,7 @@ def harmonize(train: DataFrame, test: DataFrame, mode: str, group: str = "group"
         return tuple(t.join(own, "feature", "left_semi") for t in (train, test))
     if mode != "union_impute":
         raise ValueError(f"unknown mode {mode!r}")
-    medians = train.groupBy("feature").agg(F.percentile(blank("value"), 0.5).alias("_median")).where("_median is not null")
+    medians = exact_quantiles(train, "value", [0.5], ["feature"]).select("feature", F.col("quantiles")[0].alias("_median"))
     fill = lambda t: t.join(medians, "feature").withColumn("value", F.coalesce(blank("value"), "_median")).drop("_median")
     return fill(train), fill(test)
 

@@ -173,7 +173,7 @@ def _blocks(spark, sf_dir):
 
 
 @query(_BLOCKS + """, k AS (SELECT *, row_number() OVER (PARTITION BY subject, run ORDER BY o, y) - 1 AS pos, count(*) OVER (PARTITION BY subject, run) AS n FROM b)
-    SELECT k.subject, k.run, k.o, k.y, CASE WHEN k.n >= 8 THEN m.y ELSE k.y END AS permuted FROM k JOIN k m ON m.subject = k.subject AND m.run = k.run AND (m.pos + 3) % k.n = k.pos""")
+    SELECT k.subject, k.run, k.o, k.y, CASE WHEN k.n >= 8 THEN m.y ELSE k.y END AS permuted FROM k JOIN k m ON m.subject = k.subject AND m.run = k.run AND (m.pos + 3) % m.n = k.pos""")
 def circular_shift_within_run(spark, sf_dir):
     return I.circular_permutation(_blocks(spark, sf_dir), ["subject", "run"], ["o", "y"], "y", 3)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from traceloom.operators import spatial_models as SM
 from traceloom.plans.sqltools import r, rounded
 from traceloom.sources import bundle, views
 from traceloom.sources.views import with_views
+from traceloom.sources.scratch import scratch_path
 from traceloom.streaming import windows as W
 
 QUERIES, SQL = {}, {}
@@ -247,11 +246,7 @@ def tangent_features(spark, sf_dir):
 
 
 def _scratch(spark) -> str:
-    try:
-        base = spark.conf.get("spark.checkpoint.dir")
-    except Exception:
-        base = None
-    return f"{(base or tempfile.mkdtemp(prefix='traceloom-')).rstrip('/')}/bundles-{uuid.uuid4().hex}"
+    return scratch_path(spark, "bundles")
 
 
 @query(with_views("cells") + f"SELECT recording, epoch, event, feature, max(value) AS value, {r('max(coverage)', 'coverage')}, {r('max(support)', 'support')} FROM cells WHERE feature IN ('quantity', 'tax') GROUP BY ALL")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from traceloom.functions.dims import STANDARD_BANDS, Band, Window, canonical_json, feature_name_column
 from traceloom.operators import connectivity, estimators, events, phase, spectral, temporal
 from traceloom.plans.registry import Measure, lookup
+from traceloom.sources.scratch import cut
 
 SECTIONS = ("inputs", "output", "bands", "windows", "rois", "spectra", "band_signal", "trials", "defaults", "features")
 ENTRY = ("measure", "measures", "bands", "windows", "baseline", "spatial", "normalize", "ratios", "asymmetry", "pairs", "graph_threshold")
@@ -199,7 +200,7 @@ def _levels(e: Entry, rois: dict) -> list[tuple[dict | None, bool]]:
 
 
 class Inputs:
-    """Inputs that several entries share, each planned once: spectra, power, envelopes, band signals."""
+    """Inputs that entries share: spectra and band signals, each computed once and written to the shared folder."""
 
     def __init__(self, traces: DataFrame, recipe: Recipe, sfreq: float, n: int) -> None:
         self.traces, self.recipe, self.sfreq, self.n = traces, recipe, sfreq, n
@@ -221,6 +222,8 @@ class Inputs:
                 self._spectra[key] = (rows, freqs)
             else:
                 self._spectra[key] = estimators.welch(self.traces, own, self.sfreq, n_fft, s.fmin, top, statistic=s.statistic)
+            rows, freqs = self._spectra[key]
+            self._spectra[key] = (cut(rows, "spectra"), freqs)
         return self._spectra[key]
 
     def _samples(self, w: Window) -> int:
@@ -229,7 +232,7 @@ class Inputs:
 
     def band(self, name: str) -> DataFrame:
         if name not in self._bands:
-            self._bands[name] = estimators.band_signal(self.traces, self.recipe.bands[name], self.sfreq)
+            self._bands[name] = cut(estimators.band_signal(self.traces, self.recipe.bands[name], self.sfreq), "band")
         return self._bands[name]
 
     def modulus(self, name: str, square: bool) -> DataFrame:
@@ -239,10 +242,11 @@ class Inputs:
 
 
 def extract(traces: DataFrame, recipe: Recipe, sfreq: float, n_samples: int, channels: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """(per-epoch cells, cross-trial cells or None) of all entries, lazily planned.
+    """(per-epoch cells, cross-trial cells or None) of all entries.
 
     traces: keys, channel, t0, sfreq, x. The recordings' rate, length and channels
-    are stated, so planning reads no row.
+    are stated. Spectra and band signals are computed here, once for all entries;
+    the entries themselves are planned only.
     """
     rois = resolve_rois(recipe, channels) if recipe.rois else {}
     inputs = Inputs(traces, recipe, sfreq, n_samples)
@@ -331,10 +335,11 @@ def status(traces: DataFrame, recipe: Recipe, path: str) -> DataFrame:
     """(recording, state): done, stale (written by another recipe) or missing."""
     spark = traces.sparkSession
     wanted = traces.select("recording").distinct()
-    try:
-        written = spark.read.parquet(path).select("recipe", F.col("recording").cast("string").alias("recording")).distinct()
-    except Exception:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return wanted.withColumn("state", F.lit("missing"))
+    # What cannot be read is an error, not a recording to compute again.
+    written = spark.read.parquet(path).select("recipe", F.col("recording").cast("string").alias("recording")).distinct()
     own = written.groupBy("recording").agg(F.max((F.col("recipe") == recipe.sha256()).cast("int")).alias("own"))
     return wanted.join(own, "recording", "left").select("recording", F.when(F.col("own") == 1, "done").when(F.col("own") == 0, "stale").otherwise("missing").alias("state"))
 
