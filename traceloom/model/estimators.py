@@ -355,9 +355,9 @@ def _tree(params: dict) -> dict:
 def regressor(kind: str, seed: int = 42, **params):
     """An estimator of pyspark.ml by name: elasticnet, random_forest, gradient_boosting, svr.
 
-    svr has Huber's loss on random Fourier features (kernels.FourierFeatures), as
-    Spark has no epsilon-insensitive loss. l2_regularization has no counterpart in
-    Spark's boosting and is not used.
+    svr is approximate: penalised least squares on random Fourier features of the
+    radial kernel, as Spark has no epsilon-insensitive loss; its epsilon is not used.
+    Nor is l2_regularization, which Spark's boosting does not have.
     """
     if kind == "elasticnet":
         return LinearRegression(labelCol="y", predictionCol="p", elasticNetParam=params.get("l1_ratio", 0.5), regParam=params.get("alpha", 0.1), maxIter=params.get("max_iter", 100), tol=params.get("tol", 1e-6))
@@ -367,7 +367,7 @@ def regressor(kind: str, seed: int = 42, **params):
         return GBTRegressor(labelCol="y", predictionCol="p", maxIter=params.get("max_iter", 20), stepSize=params.get("learning_rate", 0.1), seed=seed, **_tree({"max_depth": 3} | params))
     if kind == "svr":
         lift = FourierFeatures(params.get("gamma", "scale"), params.get("components", 200), seed)
-        return Pipeline(stages=[lift, LinearRegression(featuresCol="lifted", labelCol="y", predictionCol="p", loss="huber", standardization=False, epsilon=1.0 + params.get("epsilon", 0.1), regParam=1.0 / params.get("C", 1.0) / params.get("n", 100.0), maxIter=params.get("max_iter", 100))])
+        return Pipeline(stages=[lift, LinearRegression(featuresCol="lifted", labelCol="y", predictionCol="p", standardization=False, regParam=1.0 / params.get("C", 1.0) / params.get("n", 100.0), solver="l-bfgs", maxIter=params.get("max_iter", 200))])
     raise ValueError(f"unknown regressor {kind!r}")
 
 
