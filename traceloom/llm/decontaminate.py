@@ -181,34 +181,35 @@ def windows(rows: DataFrame, id_col: str, text_col: str, widths: tuple[tuple[int
                 sizes = np.bincount(doc, minlength=hi - lo)
                 parts = np.bincount(doc[first], minlength=hi - lo)
                 starts = np.cumsum(sizes) - sizes
-                # By stream, templates and raw: hashes, kinds, texts, sizes, and where tokens lie among all.
-                every = np.arange(len(doc))
-                streams = {
-                    False: (tokens[first], kinds[first], doc[first], parts, first, last),
-                    True: (canonical.hashes[own] ^ RAW, kinds, doc, sizes, every, every + 1),
-                }
+                all_widths = widths if widths is not None else sorted({(min(width, n), raw) for raw, of in ((False, parts), (True, sizes)) for n in of.tolist() if n})
                 at: list[int] = []
                 cols: list[list] = [[] for _ in range(8)]
-                all_widths = {(min(width, n), raw) for raw, of in ((False, parts), (True, sizes)) for n in of.tolist() if n}
-                for w, raw in widths if widths is not None else sorted(all_widths):
-                    hashes, kind, text, n, begin, end = streams[raw]
-                    begins = np.cumsum(n) - n
-                    words = np.r_[0, np.cumsum(kind == WORD)]
+                streams: dict[bool, tuple] = {}
+                for w, raw in all_widths:
+                    if raw not in streams:
+                        # Templates or raw: hashes, kinds, texts, sizes, begins, and where tokens lie among all.
+                        every = np.arange(len(doc)) if raw else None
+                        streams[raw] = (canonical.hashes[own] ^ RAW, kinds, doc, sizes, starts, every, every + 1) if raw else (tokens[first], kinds[first], doc[first], parts, np.cumsum(parts) - parts, first, last)
+                    hashes, kind, text, n, begins, begin, end = streams[raw]
                     h = window_hashes(hashes, w)
-                    place = np.arange(len(h))
-                    ok = text[: len(h)] == text[w - 1 :][: len(h)]
-                    # Placeholders alone say nothing.
-                    told = words[w:][: len(h)] - words[: len(h)] >= min(3, w)
-                    if not raw:
-                        ok &= told & (w >= least_words)
-                    elif widths is None:
-                        ok &= ~(told & (np.minimum(width, parts[text[: len(h)]]) >= least_words))
-                    if widths is None:
-                        ok &= np.minimum(width, n[text[: len(h)]]) == w
                     if bitmap is not None:
-                        a, b = h % np.uint64(bits), (h >> np.uint64(17)) % np.uint64(bits)
-                        ok &= ((bitmap[a >> np.uint64(6)] >> (a & np.uint64(63))) & (bitmap[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
-                    for p in place[ok].tolist():
+                        # A document's windows are few after the bitmap; that they say enough is known from the item's.
+                        a = h & np.uint64(bits - 1)
+                        place = np.flatnonzero(bitmap[a >> np.uint64(6)] >> (a & np.uint64(63)) & np.uint64(1))
+                        b = (h[place] >> np.uint64(17)) & np.uint64(bits - 1)
+                        place = place[(bitmap[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                        place = place[text[place] == text[place + w - 1]]
+                    else:
+                        words = np.r_[0, np.cumsum(kind == WORD)]
+                        ok = (text[: len(h)] == text[w - 1 :][: len(h)]) & (np.minimum(width, n[text[: len(h)]]) == w)
+                        # Placeholders alone say nothing.
+                        told = words[w:][: len(h)] - words[: len(h)] >= min(3, w)
+                        if raw:
+                            ok &= ~(told & (np.minimum(width, parts[text[: len(h)]]) >= least_words))
+                        else:
+                            ok &= told & (w >= least_words)
+                        place = np.flatnonzero(ok)
+                    for p in place.tolist():
                         d, lead, stop = int(text[p]), int(begin[p]), int(end[p + w - 1])
                         if raw:
                             values = [canonical.names[k] for k in own[lead:stop].tolist()]
