@@ -99,7 +99,7 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 def check_pairs(spark: SparkSession, pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    asked = pairs.select(F.col("a").alias("row")).distinct().unionByName(pairs.select(F.col("b").alias("row")).distinct()).distinct()
     texts = cut(spark, rows.select("row", "text").join(asked, "row", "left_semi"), "pair-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,6 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(spark: SparkSession, path: str | None) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    if path:
+        _remove(spark, path)
+
+
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Removes the scratch tables that are made within it; what is wanted of them is written before it ends."""
