@@ -2,7 +2,7 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each
 stage's rows as Parquet to the shared folder and reads them as the next one's; what
-a stage keeps there for itself goes when its rows are written.
+a stage has read and what it keeps there for itself goes when its rows are written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.llm import decontaminate, near_copies, packing, quality_rules, toxicity
-from traceloom.llm.shared import cut, scratch_path, scratch_scope, table
+from traceloom.llm.shared import cut, release, scratch_path, scratch_scope, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -72,11 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
         with scratch_scope(spark):
             kept = stage(spark, docs, sf_dir)
             kept.write.parquet(path)
         docs = spark.read.schema(kept.schema).parquet(path)
+        # The stage's rows are whole; what it read is not needed again.
+        release(spark, before)
+        before = path
     return docs
