@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.llm import simhash_dedup
-from traceloom.llm.shared import cut, map_arrow, min_components
+from traceloom.llm.shared import cut, map_arrow, min_components, scratch_path, scratch_scope
 
 WIDTH = 5
 BANDS, DEPTH = 32, 4
@@ -121,7 +121,18 @@ def fingerprint_pairs(spark: SparkSession, rows: DataFrame, signed: DataFrame, n
 
 
 def groups(spark: SparkSession, rows: DataFrame, small: int = SMALL) -> DataFrame:
-    """(row, component) of every row of rows (row, text); component is the smallest row of its group."""
+    """(row, component) of every row of rows (row, text); component is the smallest row of its group.
+
+    Two numbers a row are written; the tables that led to them go.
+    """
+    path = scratch_path(spark, "near-groups")
+    with scratch_scope(spark):
+        out = _groups(spark, rows, small)
+        out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def _groups(spark: SparkSession, rows: DataFrame, small: int = SMALL) -> DataFrame:
     signed = cut(spark, signatures(rows), "signatures")
     nodes = cut(spark, signed.groupBy("set").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sets")
     words = [f"w{k}" for k in range(SKETCH)]
