@@ -47,10 +47,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, each row judged by its own text."""
-    docs = keyed(spark, docs)
-    found = decontaminate.contaminated(spark, docs, table(spark, sf_dir, "benchmark"), id_col="row").select(F.col("id").alias("row")).distinct()
-    return docs.join(found, "row", "left_anti").select(*COLUMNS)
+    """Documents that hold no benchmark item. Each row is judged by its own text, so a digest of the text carries the verdict and no copy with row keys is written."""
+    docs = docs.select(*COLUMNS)
+    marked = docs.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    found = decontaminate.contaminated(spark, marked, table(spark, sf_dir, "benchmark"), id_col="digest")
+    # What was found is written first, so that its size is known when the texts are held against it.
+    found = cut(spark, found.select(F.col("id").alias("digest")).distinct(), "contaminated")
+    return marked.join(found, "digest", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
