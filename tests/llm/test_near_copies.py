@@ -86,3 +86,27 @@ def test_stages_judge_rows_and_not_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
     got = pipeline.drop_near_copies(spark, docs, SMALL).collect()
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, [(1, clean[0]), (1, clean[1]), (None, clean[1]), (None, leak)]))
+
+
+def test_a_large_group_is_not_compared_in_pairs(spark, monkeypatch):
+    """Texts that all share most with one and too little with each other: only the few that are similar are held together."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    base, asked = [word() for _ in range(200)], []
+
+    def changed(words, at):
+        out = list(words)
+        for k in at:
+            out[k] = word()
+        return out
+
+    # Three words each: any two have a similarity of about 0.73. Every tenth has a closer one.
+    far = [changed(base, (rng.randrange(5, 60), rng.randrange(70, 120), rng.randrange(130, 195))) for _ in range(150)]
+    texts = [" ".join(w) for w in [*far, *(changed(w, [rng.randrange(5, 195)]) for w in far[::10])]]
+    held = near_copies.with_texts
+    monkeypatch.setattr(near_copies, "with_texts", lambda spark, pairs, rows: asked.append(pairs.count()) or held(spark, pairs, rows))
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    got = {r["row"]: r["component"] for r in near_copies.groups(spark, df).collect()}
+    assert got == dict(enumerate(brute_groups(texts)))
+    assert len(set(got.values())) <= 150
+    assert sum(asked) < 10 * len(texts)

@@ -6,17 +6,20 @@ those that simhash_dedup groups by fingerprints of five-word shingles, each with
 its group's smallest row; fingerprints at 0.8 differ in too many bits to be found
 by parts (README), so the others meet under one of BANDS keys of DEPTH minimum hashes each (Broder, 1997): a pair of
 similarity s shares none with probability (1 - s**DEPTH) ** BANDS, 5e-8 at 0.8.
-Those whose sketches, four bits of each of 512 minimum hashes, differ in more than
-APART places go (Li and König, 2010; as improbable at 0.8); every pair left is held
-against the exact similarity of its texts.
-
-A key's members are not paired with each other where they are many: the one whose
-own keys have the most members, near to which the others lie, is compared with all,
-and then only those outside the key's largest component, first with those that their
-sketches say are close, so that a large group of near copies costs its size and not
-its square. A pair is
-looked at under the first key only that it shares. No pair of different components
-that meet under a key is left out.
+Under a key of at most SMALL members each pair whose sketches, four bits of each of
+512 minimum hashes, differ in at most APART places (Li and König, 2010; beyond that as
+improbable at 0.8) is held against the exact similarity of its texts, under the first
+key only that it shares.
+
+The members of larger keys are compared with one of them, the hub: the one whose own
+keys have the most members. Let a and b be the numbers of shingles that only the hub
+and only a member has, and w = 5a + 4b. A member is similar to a hub of h shingles if
+w <= h. Two members x and y, of which x is not, can only be similar if they have at
+least (w_x + w_y - h) / 9 of these differences in common; that is more than w_y / 9.
+So one of them is among all but w_y // 9 of those of y, of which the rarest are taken
+(prefix filter; Chaudhuri et al., 2006). Pairs are those that meet there and have
+enough differences in common: what a large group of near copies shares, which is the
+hub's, pairs nobody. No pair of different components that meet under a key is left out.
 
 Defined results: texts of fewer words than a shingle are one shingle; null and
 empty texts have none and are copies of each other.
@@ -39,11 +42,11 @@ from traceloom.llm.shared import cut, map_arrow, min_components, scratch_path, s
 WIDTH = 5
 BANDS, DEPTH = 32, 4
 #: Minimum hashes of a sketch, which has 4 bits of each, and the places in which sketches of similar sets differ at most: at
-#: 0.8 they differ in 96, with a standard deviation of 9; pairs of at most CLOSE are looked at first.
-HASHES, APART, CLOSE, SIMILARITY = 512, 143, 80, 0.8
+#: 0.8 they differ in 96, with a standard deviation of 9.
+HASHES, APART, SIMILARITY = 512, 143, 0.8
 #: Words of 64 bits of a sketch.
 SKETCH = HASHES // 16
-#: Members of a key that are paired with each other at once.
+#: Members of a key that are paired with each other at once; the others are held against a hub.
 SMALL = 16
 #: Shingles whose minimum hashes are taken at once; bounds the memory that one long text takes.
 SLICE = 1_000
@@ -97,18 +100,53 @@ def signatures(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("row", F.col("text").cast("string").alias("text")), run, "row bigint, set binary, size int, keys array<bigint>, sketch array<bigint>")
 
 
+def with_texts(spark: SparkSession, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b, s, t): pairs (a, b) of rows with their texts."""
+    asked = pairs.select(F.col("a").alias("row")).distinct().unionByName(pairs.select(F.col("b").alias("row")).distinct()).distinct()
+    texts = cut(spark, rows.select("row", F.col("text").cast("string").alias("text")).join(asked, "row", "left_semi"), "pair-texts")
+    held = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("t")), "b")
+    return held.select("a", "b", "s", "t")
+
+
 def check_pairs(spark: SparkSession, pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
-    asked = pairs.select(F.col("a").alias("row")).distinct().unionByName(pairs.select(F.col("b").alias("row")).distinct()).distinct()
-    texts = cut(spark, rows.select("row", "text").join(asked, "row", "left_semi"), "pair-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             yield batch.select([0, 1]).filter(pa.array([similar(s, t) for s, t in zip(x, y)], pa.bool_()))
 
-    held = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("t")), "b")
-    return cut(spark, map_arrow(held.select("a", "b", "s", "t"), run, "a bigint, b bigint"), "links")
+    return cut(spark, map_arrow(with_texts(spark, pairs, rows), run, "a bigint, b bigint"), "links")
+
+
+def differences(spark: SparkSession, family: DataFrame, rows: DataFrame) -> DataFrame:
+    """(hub, node, w, h, apart) of family (hub, node): apart holds the shingles of one of both only, odd if they are the node's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, h, apart = [], [], []
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = shingle_set(s), shingle_set(t)
+                gone, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                w.append(5 * len(gone) + 4 * len(new))
+                h.append(len(x))
+                apart.append(np.r_[new | np.uint64(1), gone & ~np.uint64(1)].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(w, pa.int64()), pa.array(h, pa.int64()), pa.array(apart, pa.list_(pa.int64()))], names=["hub", "node", "w", "h", "apart"]
+            )
+
+    held = with_texts(spark, family.select(F.col("hub").alias("a"), F.col("node").alias("b")), rows)
+    return cut(spark, map_arrow(held, run, "hub bigint, node bigint, w bigint, h bigint, apart array<bigint>"), "differences")
+
+
+def common_differences(spark: SparkSession, apart: DataFrame) -> DataFrame:
+    """(hub, node, w, h, shared, first): the differences that another member of the hub has too, and those of them that a similar member must meet."""
+    one = apart.select("hub", "node", F.explode("apart").alias("d"))
+    counts = one.groupBy("hub", "d").agg(F.count("*").alias("n")).where("n > 1")
+    shared = one.join(counts, ["hub", "d"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("shared"))
+    # The rarest are first: those that no other member has, then the shared ones by their number.
+    first = F.greatest(F.size("shared") - F.floor(F.col("w") / 9), F.lit(0)).cast("int")
+    return cut(spark, apart.join(shared, ["hub", "node"]).select("hub", "node", "w", "h", F.col("shared.d").alias("shared"), F.slice("shared.d", 1, first).alias("first")), "common")
 
 
 def fingerprint_pairs(spark: SparkSession, rows: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -132,6 +170,20 @@ def groups(spark: SparkSession, rows: DataFrame, small: int = SMALL) -> DataFram
     return spark.read.schema(out.schema).parquet(path)
 
 
+def families(spark: SparkSession, shared: DataFrame, rows: DataFrame, small: int) -> DataFrame:
+    """(hub, node): the members of keys (key, node, n) of more than `small`, each with the key's hub, of which it is not one."""
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    many = shared.where(F.col("n") > small).select("key", "node")
+    ranked = many.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("node").alias("by"), "node")).alias("lead"))
+    met = cut(spark, many.join(cut(spark, ranked, "leads"), "key").select("lead", "node").distinct(), "led")
+    # A lead that is similar to another one of more weight leaves its keys to it, so that one group has few hubs.
+    leads = met.select(F.col("lead.node").alias("b")).distinct()
+    other = cut(spark, met.select("lead", F.col("lead.node").alias("a"), F.col("node").alias("b")).where("a <> b").join(leads, "b", "left_semi"), "other-leads")
+    above = other.join(check_pairs(spark, other.select("a", "b"), rows), ["a", "b"]).groupBy("b").agg(F.max("lead").alias("above"))
+    led = met.select(F.col("lead.node").alias("b"), "node").join(cut(spark, above, "above"), "b", "left")
+    return cut(spark, led.select(F.coalesce("above.node", "b").alias("hub"), "node").where("hub <> node").distinct(), "families")
+
+
 def _groups(spark: SparkSession, rows: DataFrame, small: int = SMALL) -> DataFrame:
     signed = cut(spark, signatures(rows), "signatures")
     nodes = cut(spark, signed.groupBy("set").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sets")
@@ -143,12 +195,10 @@ def _groups(spark: SparkSession, rows: DataFrame, small: int = SMALL) -> DataFra
     shared = cut(spark, spots.join(counts, "key"), "shared-keys")
     # Of a key, 32 bits tell whether another text has the same one.
     tags = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))
-    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    marked = nodes.select("node", "size", tags.alias("tags"), *(F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(words))).join(weight, "node")
-    met = cut(spark, shared.join(marked, "node"), "keys")
-    member = ["node", "size", "key", "band", "tags", *words]
+    marked = nodes.select("node", "size", tags.alias("tags"), *(F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(words)))
+    few = cut(spark, shared.where(F.col("n") <= small).join(marked, "node"), "keys")
 
-    def fitting(a: DataFrame, b: DataFrame, on, most: int = APART) -> DataFrame:
+    def fitting(a: DataFrame, b: DataFrame) -> DataFrame:
         # Sizes alone bound the similarity.
         x, y = a.alias("x"), b.alias("y")
         ones = F.lit(0x1111111111111111)
@@ -157,35 +207,35 @@ def _groups(spark: SparkSession, rows: DataFrame, small: int = SMALL) -> DataFra
         for w in words:
             v = either(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}")))
             apart = apart + F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(ones))
-        close = (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * SIMILARITY - 1e-6) & (apart <= most)
+        close = (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * SIMILARITY - 1e-6) & (apart <= APART)
         here = F.array_position(F.zip_with("x.tags", "y.tags", lambda s, t: s == t), True) == F.col("x.band") + 1
-        return x.join(y, (F.col("x.key") == F.col("y.key")) & on & close & here).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-
-    few = met.where(F.col("n") <= small)
-    many = met.where(F.col("n") > small)
-    first = cut(spark, many.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("node").alias("by"), "node")).alias("one")).select("key", F.col("one.node").alias("node")), "first")
-    lead = many.join(first, ["key", "node"], "left_semi")
-    pairs = fitting(few, few, F.col("x.node") < F.col("y.node")).unionByName(fitting(lead, many, F.col("x.node") != F.col("y.node")))
-    pairs = cut(spark, pairs.unionByName(fingerprint_pairs(spark, rows, signed, nodes)).distinct(), "pairs")
+        return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & close & here).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    pairs = cut(spark, fitting(few, few).unionByName(fingerprint_pairs(spark, rows, signed, nodes)).distinct(), "pairs")
     links = check_pairs(spark, pairs, rows)
-    tested, everyone = pairs, cut(spark, many.select(*member), "left-keys")
+    apart = differences(spark, families(spark, shared, rows, small), rows)
+    links = links.unionByName(apart.where("w <= h").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
     found = cut(spark, min_components(spark, links), "components")
-    for limit in (CLOSE, APART):
-        left, most = everyone, 4 * small
-        while not left.isEmpty():
-            own = cut(spark, left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-            parts = own.groupBy("key", "component").agg(F.count("*").alias("c"))
-            large = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"))
-            large = cut(spark, large.select("key", F.col("top.component").alias("main"), (F.col("c") - F.col("top.c")).alias("minor")).where("minor > 0"), "large")
-            own = cut(spark, own.join(large, "key"), "minor-keys")
-            # Of a key's members outside its main component, about `most` are compared with all others.
-            chosen = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("node", F.lit(most)), F.ceil(F.col("minor") / most)) == 0)
-            asked = fitting(own.where(chosen), own, F.col("x.component") != F.col("y.component"), limit).distinct().join(tested, ["a", "b"], "left_anti")
-            asked = cut(spark, asked, "pairs")
-            if not asked.isEmpty():
-                links = links.unionByName(check_pairs(spark, asked, rows))
-                tested = tested.unionByName(asked)
-                found = cut(spark, min_components(spark, links), "components")
-            left, most = cut(spark, own.where(~chosen).select(*member), "left-keys"), 4 * most
+    left, tested, most = common_differences(spark, apart), pairs, 4 * small
+    while not left.isEmpty():
+        hubs = found.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+        own = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(hubs, "hub", "left")
+        own = cut(spark, own.withColumn("outside", F.col("component") != F.coalesce("main", "hub")).drop("main"), "labelled")
+        minor = cut(spark, own.where("outside").groupBy("hub").agg(F.count("*").alias("minor")), "minor")
+        own = own.join(minor, "hub")
+        # Of a hub's members outside its component, which are not similar to it, about `most` are compared with all others.
+        chosen = F.col("outside") & (F.pmod(F.xxhash64("node", F.lit(most)), F.ceil(F.col("minor") / most)) == 0)
+        x = own.where(chosen).select("hub", F.col("node").alias("x"), (F.col("w") - F.col("h")).alias("over"), F.col("component").alias("of"), F.explode("shared").alias("d"))
+        y = own.select("hub", F.col("node").alias("y"), "w", "component", F.explode("first").alias("d"))
+        met = x.join(y, ["hub", "d"]).where("of <> component").groupBy("hub", "x", "y", "over", "w").agg(F.count("*").alias("n"))
+        # Those of y that are not asked are w // 9 at most.
+        asked = met.where(F.col("n") + F.floor(F.col("w") / 9) >= (F.col("over") + F.col("w")) / 9)
+        asked = asked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        asked = cut(spark, asked, "pairs")
+        if not asked.isEmpty():
+            links = links.unionByName(check_pairs(spark, asked, rows))
+            tested = tested.unionByName(asked)
+            found = cut(spark, min_components(spark, links), "components")
+        left, most = cut(spark, own.where(~chosen).select("hub", "node", "w", "h", "shared", "first"), "left-members"), 4 * most
     named = nodes.select("set", "node").join(found, "node", "left")
     return signed.select("row", "set").join(named.select("set", F.coalesce("component", "node").alias("component")), "set").select("row", "component")
