@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.functions.numeric import divide
+from traceloom.functions.numeric import divide, pinned
 from traceloom.sources.scratch import cut
 
 KEYS = ("recording", "epoch", "event")
@@ -23,8 +23,19 @@ def channel_matrix(traces: DataFrame, channels: Sequence[str]) -> DataFrame:
     return rows.where(F.size("s") == len(channels)).select(*KEYS, "sfreq", F.col("s.x").alias("m"))
 
 
+def sparse_channel_matrix(traces: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """As channel_matrix, but no epoch goes: what a channel lacks is null, and of its several rows the greatest sample counts.
+
+    An epoch is as long as its longest trace, that of a channel that is not named included.
+    """
+    rows = traces.groupBy(*KEYS, "sfreq").agg(F.max(F.size("x")).alias("_n"), *(F.collect_list(F.when(F.col("channel") == c, F.col("x"))).alias(f"_c{k}") for k, c in enumerate(channels))).where("_n > 0")
+    places = F.sequence(F.lit(0), F.col("_n") - 1)
+    one = lambda own: F.transform(places, lambda i: F.array_max(F.transform(own, lambda x: F.get(x, i))))
+    return pinned(rows, m=F.array(*(one(f"_c{k}") for k in range(len(channels))))).select(*KEYS, "sfreq", "m")
+
+
 def label_samples(epochs: DataFrame, templates: np.ndarray) -> DataFrame:
-    """epochs with states: for each sample the template of greatest |spatial correlation|, the first on a tie."""
+    """epochs with states: for each sample the template of greatest |spatial correlation|, the first on a tie, and the last where a channel is null."""
     t = np.asarray(templates, dtype=float)
     t = t - t.mean(axis=1, keepdims=True)
     t = t / np.linalg.norm(t, axis=1, keepdims=True)
