@@ -1,6 +1,7 @@
 """Recipes, spectra models, cycles, workflows, sources and streams."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -187,3 +188,19 @@ def test_metadata_joins_by_sample_and_label(spark):
     e = spark.createDataFrame([("r", 10, "a"), ("r", 20, "b"), ("r", 30, "c")], "recording string, i long, label string")
     s = spark.createDataFrame([("r", 1.0, "a", 5), ("r", 2.0, "b", 6), ("r", 2.0, "x", 7)], "recording string, onset double, label string, rating int")
     assert {(r["i"], r["rating"]) for r in attach_metadata(e, s, 10.0).collect()} == {(10, 5), (20, 6), (30, None)}
+
+
+def test_spectra_are_fitted_in_bulk_as_alone():
+    f, rng = np.arange(2.25, 40, 0.75), np.random.default_rng(3)
+    p = rng.chisquare(1, (600, len(f))) / f + 1e-6
+    p[5, 3], p[6, 0] = np.nan, 0.0
+    began = time.process_time()
+    alone = [MS.parameterise(f, v) for v in p[:40]]
+    bulk = MS.parameterise_rows(f, p)
+    assert time.process_time() - began < 15  # one spectrum after another took some 60 ms each
+    for i, m in enumerate(alone):
+        own = bulk["peaks"][i][np.isfinite(bulk["peaks"][i, :, 0])]
+        assert len(own) == len(m["peaks"]) and np.isnan(m["offset"]) == np.isnan(bulk["offset"][i]) == (i in (5, 6))
+        assert np.allclose([m[k] for k in ("offset", "exponent", "r_squared", "error")], [bulk[k][i] for k in ("offset", "exponent", "r_squared", "error")], atol=1e-6, equal_nan=True)
+        assert np.allclose(own, np.array(m["peaks"]).reshape(-1, 3), atol=1e-5)
+    assert np.isfinite(bulk["peaks"][:, :, 0]).sum(axis=1).max() <= 6 and (np.isfinite(bulk["peaks"][:, :, 0]).sum(axis=1) > 1).any()

@@ -56,73 +56,139 @@ def background(f: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p[0] - np.log10((p[2] if len(p) > 2 else 0.0) + f ** p[1])
 
 
-def parameterise(
+def backgrounds(x: np.ndarray, y: np.ndarray, own: np.ndarray, knee: bool) -> np.ndarray:
+    """fit_background of each row of y over its own bins (a mask): rows x parameters; x is log10 f."""
+    if knee:
+        return np.array([fit_background(10 ** x[o], v[o], True) for v, o in zip(y, own)]).reshape(len(y), 3)
+    n = own.sum(axis=1)
+    mx, my = np.where(own, x, 0.0).sum(axis=1) / n, np.where(own, y, 0.0).sum(axis=1) / n
+    x0 = np.where(own, x - mx[:, None], 0.0)
+    slope = (x0 * (y - my[:, None])).sum(axis=1) / (x0 * x0).sum(axis=1)
+    return np.stack([my - slope * mx, -slope], axis=1)
+
+
+def _curves(f: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """background of each row of p."""
+    return p[:, :1] - np.log10((p[:, 2:3] if p.shape[1] > 2 else 0.0) + f ** p[:, 1:2])
+
+
+def parameterise(f: np.ndarray, p: np.ndarray, knee: bool = False, **kw) -> dict:
+    """parameterise_rows of one spectrum, its peaks as (centre, height, width)."""
+    m = parameterise_rows(f, np.asarray(p, dtype=float)[None], knee, **kw)
+    return {k: float(v[0]) for k, v in m.items() if k != "peaks"} | {"peaks": [tuple(map(float, q)) for q in m["peaks"][0] if np.isfinite(q[0])]}
+
+
+#: Spectra that are fitted together: their Jacobians take a few megabytes.
+ROWS = 512
+#: Over which the peaks' parameters are differenced: a result that stops short of its minimum depends on it.
+STEP = 1e-5
+
+
+def parameterise_rows(
     f: np.ndarray, p: np.ndarray, knee: bool = False, widths: tuple[float, float] = (0.5, 12.0), most: int = 6, least_height: float = 0.0, threshold: float = 2.0
 ) -> dict:
-    """Background and Gaussian peaks of log10 power (after Donoghue et al., 2020).
+    """Background and Gaussian peaks of log10 power of each row of p (after Donoghue et al., 2020).
 
     A robust background is fitted to the points under the 2.5th percentile of the
     first flattened spectrum; peaks over the threshold's deviations are taken off
     one by one, refined together, and the background is refitted without them.
+    Every step is one array operation over the rows that still take it. A value
+    for each row; peaks: rows x most x (centre, height, width), NaN where there is none.
     """
-    ok = np.isfinite(p) & (p > 0) & (f > 0)
-    nan = float("nan")
-    if ok.sum() < 8 or not ok.all():
-        return {"offset": nan, "exponent": nan, "knee": nan, "r_squared": nan, "error": nan, "peaks": []}
-    y = np.log10(p)
-    first = fit_background(f, y, knee)
-    flat = np.maximum(y - background(f, first), 0)
-    low = flat <= np.percentile(flat, 2.5)
-    robust = fit_background(f[low], y[low], knee) if low.sum() > 4 else first
-    rest = y - background(f, robust)
-    step, guesses = np.median(np.diff(f)), []
-    work = rest.copy()
-    for _ in range(most):
-        k = int(np.argmax(work))
-        if work[k] <= threshold * work.std() or work[k] <= least_height:
+    out = {k: np.full(len(p), np.nan) for k in ("offset", "exponent", "knee", "r_squared", "error")} | {"peaks": np.full((len(p), most, 3), np.nan)}
+    if len(f) < 8 or not (f > 0).all():
+        return out
+    fine = np.flatnonzero((np.isfinite(p) & (p > 0)).all(axis=1))
+    for start in range(0, len(fine), ROWS):
+        at = fine[start : start + ROWS]
+        for k, v in _parameterise(f, np.log10(p[at]), knee, widths, most, least_height, threshold).items():
+            out[k][at] = v
+    return out
+
+
+def _parameterise(f: np.ndarray, y: np.ndarray, knee: bool, widths: tuple[float, float], most: int, least_height: float, threshold: float) -> dict:
+    x, n = np.log10(f), len(y)
+    whole = np.ones(y.shape, dtype=bool)
+    robust = backgrounds(x, y, whole, knee)
+    flat = np.maximum(y - _curves(f, robust), 0)
+    low = flat <= np.percentile(flat, 2.5, axis=1, keepdims=True)
+    some = np.flatnonzero(low.sum(axis=1) > 4)
+    if len(some):
+        robust[some] = backgrounds(x, y[some], low[some], knee)
+    rest = y - _curves(f, robust)
+    guesses, work, live = np.full((n, most, 3), np.nan), rest.copy(), np.arange(n)
+    for turn in range(most):
+        top = work[live].max(axis=1)
+        live = live[(top > threshold * work[live].std(axis=1)) & (top > least_height)]
+        if not len(live):
             break
-        half = work[k] / 2
-        right = next((j for j in range(k, len(f)) if work[j] <= half), None)
-        left = next((j for j in range(k, -1, -1) if work[j] <= half), None)
-        reach = min([abs(f[j] - f[k]) for j in (left, right) if j is not None], default=1.0)
-        sd = float(np.clip(2 * reach / 2.3548, widths[0] / 2, widths[1] / 2))
-        guesses.append([f[k], work[k], sd])
-        work = work - work[k] * np.exp(-((f - f[k]) ** 2) / (2 * sd**2))
-    guesses = [g for g in guesses if f[0] + g[2] / 2 <= g[0] <= f[-1] - g[2] / 2]
-    peaks = _refine(f, rest, np.array(guesses), widths, step) if guesses else np.empty((0, 3))
-    bumps = sum((h * np.exp(-((f - c) ** 2) / (2 * s**2)) for c, h, s in peaks), np.zeros(len(f)))
-    last = fit_background(f, y - bumps, knee)
-    model = background(f, last) + bumps
-    total = ((y - y.mean()) ** 2).sum()
+        w = work[live]
+        k, top = w.argmax(axis=1), w.max(axis=1)
+        # Distances to the nearest bins at half the height on either side.
+        away = np.where(w <= top[:, None] / 2, np.abs(f - f[k][:, None]), np.inf)
+        reach = away.min(axis=1)
+        sd = np.clip(2 * np.where(np.isfinite(reach), reach, 1.0) / 2.3548, widths[0] / 2, widths[1] / 2)
+        guesses[live, turn] = np.stack([f[k], top, sd], axis=1)
+        work[live] = w - top[:, None] * np.exp(-((f - f[k][:, None]) ** 2) / (2 * sd[:, None] ** 2))
+    inside = (f[0] + guesses[..., 2] / 2 <= guesses[..., 0]) & (guesses[..., 0] <= f[-1] - guesses[..., 2] / 2)
+    count, bumps, peaks = inside.sum(axis=1), np.zeros(y.shape), np.full((n, most, 3), np.nan)
+    for c in range(1, most + 1):
+        own = np.flatnonzero(count == c)
+        if len(own):
+            peaks[own, :c] = made = _refine(f, rest[own], guesses[own][inside[own]].reshape(len(own), c, 3), widths)
+            bumps[own] = _bumps(f, made)[0]
+    last = backgrounds(x, y - bumps, whole, knee)
+    gone = y - _curves(f, last) - bumps
+    total = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
+    peaks[~(peaks[..., 1] > 0)] = np.nan
+    peaks[..., 2] *= 2
     return {
-        "offset": float(last[0]), "exponent": float(last[1]), "knee": float(last[2]) if knee else nan, "r_squared": float(1 - ((y - model) ** 2).sum() / total) if total > 0 else nan,
-        "error": float(np.abs(y - model).mean()), "peaks": [(float(c), float(h), float(2 * s)) for c, h, s in peaks if h > 0],
+        "offset": last[:, 0], "exponent": last[:, 1], "knee": last[:, 2] if knee else np.nan, "error": np.abs(gone).mean(axis=1), "peaks": peaks,
+        "r_squared": np.where(total > 0, 1 - (gone**2).sum(axis=1) / np.where(total > 0, total, 1.0), np.nan),
     }
 
 
-def _refine(f: np.ndarray, y: np.ndarray, peaks: np.ndarray, widths: tuple[float, float], step: float) -> np.ndarray:
-    """Least squares of all peaks' centres, heights and widths together, within bounds."""
-    low = np.stack([peaks[:, 0] - 2 * peaks[:, 2], np.zeros(len(peaks)), np.full(len(peaks), widths[0] / 2)], axis=1).ravel()
-    high = np.stack([peaks[:, 0] + 2 * peaks[:, 2], np.full(len(peaks), np.inf), np.full(len(peaks), widths[1] / 2)], axis=1).ravel()
-    q, damp = peaks.ravel().copy(), 1e-2
-    value = lambda v: sum((h * np.exp(-((f - c) ** 2) / (2 * s**2)) for c, h, s in v.reshape(-1, 3)), np.zeros(len(f)))
-    error = ((y - value(q)) ** 2).sum()
+def _bumps(f: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of rows' Gaussians, each one's shape at height 1, and the distance from its centre."""
+    away = f - peaks[..., :1]
+    shape = np.exp(-(away**2) / (2 * peaks[..., 2:] ** 2))
+    return (peaks[..., 1:2] * shape).sum(axis=1), shape, away
+
+
+def _refine(f: np.ndarray, y: np.ndarray, peaks: np.ndarray, widths: tuple[float, float]) -> np.ndarray:
+    """Least squares of all peaks' centres, heights and widths of each row together, within bounds: rows x peaks x 3."""
+    n, c = peaks.shape[:2]
+    reach = 2 * peaks[..., 2]
+    low = np.stack([peaks[..., 0] - reach, np.zeros((n, c)), np.full((n, c), widths[0] / 2)], axis=2)
+    high = np.stack([peaks[..., 0] + reach, np.full((n, c), np.inf), np.full((n, c), widths[1] / 2)], axis=2)
+    q, damp, live, best = peaks.copy(), np.full(n, 1e-2), np.arange(n), peaks.copy()
+    base, shape, away = _bumps(f, q)
+    error = ((y - base) ** 2).sum(axis=1)
     for _ in range(60):
-        base = value(q)
-        jac = np.stack([(value(q + d) - base) / 1e-5 for d in np.eye(len(q)) * 1e-5], axis=1)
-        a = jac.T @ jac
-        new_q = np.clip(q + np.linalg.solve(a + damp * np.diag(a.diagonal() + 1e-9), jac.T @ (y - base)), low, high)
-        new = ((y - value(new_q)) ** 2).sum()
-        if new < error:
-            done = error - new < 1e-12
-            q, error, damp = new_q, new, damp / 3
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e8:
+        # Forward differences over STEP, by the first two terms of their series.
+        s = q[..., 2:]
+        slope, u, t = q[..., 1:2] * shape / s, away / s, STEP / 2 / s
+        uu = u * u
+        jac = np.stack([slope * (u + t * (uu - 1)), shape, slope * uu * (1 + t * (uu - 3))], axis=2).reshape(len(q), 3 * c, len(f))
+        a = jac @ jac.transpose(0, 2, 1)
+        d = np.arange(3 * c)
+        a[:, d, d] += damp[:, None] * (a[:, d, d] + 1e-9)
+        step = np.linalg.solve(a, jac @ (y - base)[..., None])[..., 0]
+        new_q = np.clip(q + step.reshape(q.shape), low, high)
+        new_base, new_shape, new_away = _bumps(f, new_q)
+        new = ((y - new_base) ** 2).sum(axis=1)
+        better = new < error
+        done = np.where(better, error - new < 1e-12, damp * 4 > 1e8)
+        damp = np.where(better, damp / 3, damp * 4)
+        q[better], error[better], base[better], shape[better], away[better] = new_q[better], new[better], new_base[better], new_shape[better], new_away[better]
+        if done.any():
+            best[live[done]] = q[done]
+            keep = ~done
+            live, q, damp, error, base, shape, away, y, low, high = (v[keep] for v in (live, q, damp, error, base, shape, away, y, low, high))
+            if not len(live):
                 break
-    return q.reshape(-1, 3)
+    best[live] = q
+    return best
 
 
 PARAMETERS = ("specparam_offset", "specparam_exponent", "specparam_knee", "specparam_n_peaks", "specparam_r_squared", "specparam_error")
@@ -141,17 +207,20 @@ def spectral_parameterization(
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names) + ", no_peak boolean")
     def run(p: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in p:
-            m = parameterise(f[own], np.array([np.nan if q is None else q for q in v], dtype=float)[own], mode == "knee", **kw)
-            row = [m["offset"], m["exponent"], m["knee"], float(len(m["peaks"])) if np.isfinite(m["offset"]) else np.nan, m["r_squared"], m["error"]]
-            lacking = False
-            for lo, hi in limits:
-                inside = [q for q in m["peaks"] if lo <= q[0] < hi]
-                lacking |= not inside
-                row += list(max(inside, key=lambda q: q[1])) if inside else [np.nan] * 3
-            rows.append([*row, lacking])
-        return pd.DataFrame(rows, columns=[*names, "no_peak"])
+        x = np.full((len(p), len(f)), np.nan)
+        for row, v in zip(x, p):
+            if v is not None:
+                row[: len(v)] = v[: len(f)]
+        m = parameterise_rows(f[own], x[:, own], mode == "knee", **kw)
+        centre, height = m["peaks"][..., 0], m["peaks"][..., 1]
+        n_peaks = np.where(np.isfinite(m["offset"]), np.isfinite(centre).sum(axis=1), np.nan)
+        out, lacking = [m["offset"], m["exponent"], m["knee"], n_peaks, m["r_squared"], m["error"]], np.zeros(len(p), dtype=bool)
+        for lo, hi in limits:
+            inside = (centre >= lo) & (centre < hi)
+            top = m["peaks"][np.arange(len(p)), np.where(inside, height, -np.inf).argmax(axis=1)]
+            out += list(np.where(inside.any(axis=1), top.T, np.nan))
+            lacking |= ~inside.any(axis=1)
+        return pd.DataFrame(dict(zip(names, out)) | {"no_peak": lacking})
 
     share = F.size(F.filter("p", lambda v: is_finite(v))) / F.size("p")
     rows = spectra.withColumn("_m", run("p")).select(*KEYS, "channel", "window", share.alias("coverage"), "_m.*")
